@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.sequences import computed_once
 from .params import AlignParams
 
 # The letter each letter of the alphabet stands for.
@@ -30,26 +31,30 @@ def spread(spark: SparkSession, scan: DataFrame, key: str) -> DataFrame:
 def reference(spark: SparkSession, sf_dir: str, params: AlignParams = AlignParams()) -> DataFrame:
     """(seq_id, offset, is_last, seq) from ``documents``."""
     scan = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    seq = bases(F.col("text"))
     return (
         spread(spark, scan, "doc_id")
         .select(
             F.col("doc_id").alias("seq_id"),
             F.lit(0).cast("bigint").alias("offset"),
             F.lit(True).alias("is_last"),
-            seq.alias("seq"),
+            computed_once(bases(F.col("text"))).alias("seq"),
         )
         .where(F.length("seq") >= params.min_len)
     )
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, seq) from ``benchmark``."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        "item_id", computed_once(bases(F.col("text"))).alias("seq")
+    )
+
+
 def reads(spark: SparkSession, sf_dir: str, params: AlignParams = AlignParams()) -> DataFrame:
     """(read_id, seq): consecutive tiles of ``benchmark``."""
     n = params.max_len
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
-        "item_id", bases(F.col("text")).alias("seq")
-    )
-    tiles = items.where(F.length("seq") >= n).select(
+    whole = items(spark, sf_dir).where(F.length("seq") >= n)
+    tiles = whole.select(
         "item_id",
         "seq",
         F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / n).cast("int") - 1)).alias("tile"),

@@ -22,6 +22,7 @@ N_DIGIT = "4"
 PAD_DIGIT = "7"
 
 WORD_MASK = (1 << 3 * BASES_PER_WORD) - 1
+PAD_WORD = int(PAD_DIGIT * BASES_PER_WORD, 8)
 LOW_BITS = int("1" * BASES_PER_WORD, 8)
 
 
@@ -50,11 +51,9 @@ def pack_frame(digits: Column, n_words: int) -> list[Column]:
 
 def pack_array(digits: Column) -> Column:
     """A digit string of any length as an array of words (empty for an empty string)."""
-    starts = F.sequence(F.lit(0), F.length(digits) - 1, F.lit(BASES_PER_WORD))
-    words = F.transform(
-        starts, lambda o: pack_digits(F.substr(digits, o + 1, F.lit(BASES_PER_WORD)))
-    )
-    return F.when(F.length(digits) > 0, words).otherwise(F.array().cast("array<bigint>"))
+    # One linear pass; a substring per word would walk the string from its start each time.
+    cut = F.regexp_extract_all(digits, F.lit(f".{{1,{BASES_PER_WORD}}}"), F.lit(0))
+    return F.transform(cut, pack_digits)
 
 
 def _shift_left(word: Column, bits: Column | int) -> Column:

@@ -16,7 +16,7 @@ from .seeds import (
     salt_reads,
     salt_reference,
 )
-from .verify import all_of, any_of, frame_mismatches, project_alignments, verify_candidates
+from .verify import all_of, any_of, mark_mismatches, project_alignments, verify_candidates
 
 # Upper bound of the list of seeds that get salts; it is collected, so it must stay small.
 MAX_SALTED_SEEDS = 65_536
@@ -166,7 +166,7 @@ def is_first_group(params: AlignParams) -> Column:
     lookup = [
         F.array(*[F.lit(m[w]).cast("bigint") for m in flat]) for w in range(params.frame_words)
     ]
-    mismatches = frame_mismatches(params)
+    mismatches = frame_columns("m", params)
     group = F.pmod(F.col("sub"), F.lit(params.k + 1))
     conditions = []
     for earlier in range(params.k):
@@ -234,9 +234,10 @@ def find_candidates(
         )
     if salted:
         keys = [*keys, "salt"]
-    candidates = positions.join(
+    joined = positions.join(
         F.broadcast(tiles) if broadcast else tiles.hint("merge"), keys, "inner"
     )
+    candidates = mark_mismatches(joined, params)
     return candidates.where(is_first_group(params)) if refined else candidates
 
 

@@ -53,14 +53,15 @@ def packed_reference_seeds(sequences: DataFrame, params: AlignParams) -> DataFra
     )
     blocks = packed.select(
         "ref_id", "offset", "first", "end", "start", "words",
-        F.posexplode("words").alias("block", "w0"),
+        # The outer form: the inner one would add a test that packs the words a second time.
+        F.posexplode_outer("words").alias("block", "w0"),
     ).where(F.col("block") < blocks_per_piece)
     blocks = blocks.select(
         "ref_id", "offset", "first", "end",
         (F.col("start") + F.col("block") * BASES_PER_WORD).alias("start"),
         "w0",
         *[
-            F.get("words", F.col("block") + i).alias(f"w{i}")
+            F.coalesce(F.get("words", F.col("block") + i), F.lit(P.PAD_WORD)).alias(f"w{i}")
             for i in range(1, words_after + 1)
         ],
     )

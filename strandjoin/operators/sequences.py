@@ -20,6 +20,15 @@ def linear_split(text: Column, step: int, width: int) -> Column:
     )
 
 
+def computed_once(value: Column) -> Column:
+    """A generator that yields ``value`` as a column of its own.
+
+    Predicates on a plain projected column are pushed below it and compute it again; they do
+    not pass a generator. Worth it where ``value`` rewrites a whole text.
+    """
+    return F.explode(F.array(value))
+
+
 def expand_strands(reads: DataFrame) -> DataFrame:
     """Each read once per strand, marked by ``is_rc``."""
     strands = F.array(
@@ -69,7 +78,7 @@ def prepare_sequences(sequences: DataFrame) -> DataFrame:
         F.col("seq_id").cast("bigint").alias("seq_id"),
         offset.alias("offset"),
         is_last.alias("is_last"),
-        normalize_bases(F.col("seq")).alias("seq"),
+        computed_once(normalize_bases(F.col("seq"))).alias("seq"),
     )
 
 

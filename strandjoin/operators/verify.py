@@ -20,27 +20,25 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def _covered(params: AlignParams) -> list[Column]:
-    """Low bit per base position that the read covers."""
-    return [
-        F.lit(P.LOW_BITS).bitwiseXOR(P.pad_bits(f)) for f in frame_columns("f", params)
-    ]
-
-
-def frame_mismatches(params: AlignParams) -> list[Column]:
-    """Low bit per base position where read and reference differ."""
-    pairs = zip(frame_columns("c", params), frame_columns("f", params), _covered(params))
-    return [P.mismatch_bits(c, f).bitwiseAND(covered) for c, f, covered in pairs]
+def mark_mismatches(candidates: DataFrame, params: AlignParams) -> DataFrame:
+    """Add m0.., a low bit per base where read and reference differ, and o0.., a low bit per
+    base of the read that lies beyond an end of the reference.
+    """
+    columns = {}
+    for i, (c, f) in enumerate(zip(frame_columns("c", params), frame_columns("f", params))):
+        covered = F.lit(P.LOW_BITS).bitwiseXOR(P.pad_bits(f))
+        columns[f"m{i}"] = P.mismatch_bits(c, f).bitwiseAND(covered)
+        columns[f"o{i}"] = P.pad_bits(c).bitwiseAND(covered)
+    return candidates.withColumns(columns)
 
 
 def count_differences(params: AlignParams) -> Column:
-    return reduce(lambda a, b: a + b, [F.bit_count(m) for m in frame_mismatches(params)])
+    return reduce(lambda a, b: a + b, [F.bit_count(m) for m in frame_columns("m", params)])
 
 
 def inside_sequence(params: AlignParams) -> Column:
     """No base of the read lies beyond an end of the reference."""
-    pairs = zip(frame_columns("c", params), _covered(params))
-    return all_of([P.pad_bits(c).bitwiseAND(covered) == 0 for c, covered in pairs])
+    return all_of([o == 0 for o in frame_columns("o", params)])
 
 
 def touches(mismatches: list[Column], masks: list[int]) -> Column:
@@ -54,7 +52,7 @@ def is_leftmost_seed(params: AlignParams) -> Column:
     Every tile to the left either differs from the reference or could not be a seed, so a
     place reached through several clean tiles is kept once, without a shuffle.
     """
-    mismatches = frame_mismatches(params)
+    mismatches = frame_columns("m", params)
     conditions = []
     for d in range(1, params.n_tiles):
         start = params.left_reach - d * params.seed_len
@@ -64,16 +62,17 @@ def is_leftmost_seed(params: AlignParams) -> Column:
     return all_of(conditions)
 
 
-def verify_candidates(candidates: DataFrame, params: AlignParams) -> DataFrame:
-    """Candidates within k substitutions, each place once.
+def within_k(candidates: DataFrame, params: AlignParams) -> DataFrame:
+    """Marked candidates within k substitutions that lie wholly inside the reference.
 
-    The cheap count comes first: it discards nearly all candidates before the rest is evaluated.
+    The count comes first: it discards nearly all candidates before the rest is evaluated.
     """
-    return candidates.where(
-        (count_differences(params) <= params.k)
-        & inside_sequence(params)
-        & is_leftmost_seed(params)
-    )
+    return candidates.where((count_differences(params) <= params.k) & inside_sequence(params))
+
+
+def verify_candidates(candidates: DataFrame, params: AlignParams) -> DataFrame:
+    """Marked candidates within k substitutions, each place once."""
+    return within_k(candidates, params).where(is_leftmost_seed(params))
 
 
 def project_alignments(verified: DataFrame, params: AlignParams, edits: bool = False) -> DataFrame:
@@ -89,7 +88,7 @@ def project_alignments(verified: DataFrame, params: AlignParams, edits: bool = F
         F.col("is_rc"),
     ]
     if edits:
-        mismatches = frame_mismatches(params)
+        mismatches = frame_columns("m", params)
         shift = F.lit(params.left_reach) - tile_start
         positions = F.filter(
             F.sequence(F.lit(0), F.col("read_len") - 1),
