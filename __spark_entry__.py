@@ -67,15 +67,10 @@ def chunk_sequences(spark, sf_dir):
 
 def reference_seeds(spark, sf_dir):
     found = seeds.reference_seeds(fixtures.reference(spark, sf_dir), PARAMS)
-    # Counting distinct sequences in two steps keeps the shuffled rows pre-aggregated.
-    per_sequence = found.groupBy("seed", "ref_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.sum("pos").alias("total")
-    )
-    return per_sequence.groupBy("seed").agg(
-        F.sum("n").alias("places"),
-        F.count(F.lit(1)).alias("sequences"),
-        F.min("first").alias("first_pos"),
-        F.sum("total").alias("pos_sum"),
+    return found.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("places"),
+        F.min("pos").alias("first_pos"),
+        F.sum("pos").alias("pos_sum"),
     )
 
 
@@ -119,12 +114,21 @@ def salted_read_seeds(spark, sf_dir):
     return seeds.salt_reads(seeds.read_seeds(_reads(spark, sf_dir), PARAMS), PARAMS.redundancy)
 
 
+def _tiles(spark, sf_dir):
+    """Packed tiles of all reads, and their statistics."""
+    reads = _reads(spark, sf_dir).withColumn("copies", F.lit(1))
+    tiles = seeds.packed_read_tiles(reads, PARAMS)
+    return tiles, joins.read_stats(tiles)
+
+
+def _candidates(spark, sf_dir):
+    tiles, stats = _tiles(spark, sf_dir)
+    return joins.find_candidates(fixtures.reference(spark, sf_dir), tiles, PARAMS, stats)
+
+
 def seed_candidates_per_read(spark, sf_dir):
-    reference, reads = _inputs(spark, sf_dir)
-    prepared = sequences.prepare_reads(reads, PARAMS)
-    stats = joins.read_stats(joins.distinct_reads(prepared), PARAMS)
-    candidates = joins.find_candidates(reference, prepared, PARAMS, stats)
-    return candidates.groupBy("read_id", "is_rc").agg(F.count(F.lit(1)).alias("candidates"))
+    counted = _candidates(spark, sf_dir).groupBy("read_id", "is_rc")
+    return counted.agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def salted_seed_join(spark, sf_dir):
@@ -138,15 +142,10 @@ def salted_seed_join(spark, sf_dir):
 
 def k_mismatch_verify(spark, sf_dir):
     """Candidates within k, before repeated finds of a place are dropped."""
-    reference, reads = _inputs(spark, sf_dir)
-    prepared = sequences.prepare_reads(reads, PARAMS)
-    stats = joins.read_stats(joins.distinct_reads(prepared), PARAMS)
-    candidates = joins.find_candidates(reference, prepared, PARAMS, stats)
-    close = verify.within_k(candidates, PARAMS)
+    close = verify.within_k(_candidates(spark, sf_dir), PARAMS)
     differences = verify.count_differences(PARAMS).cast("int").alias("differences")
-    return close.groupBy("read_id", "is_rc", differences).agg(
-        F.count(F.lit(1)).alias("clean_tiles")
-    )
+    counted = close.groupBy("read_id", "is_rc", differences)
+    return counted.agg(F.count(F.lit(1)).alias("clean_tiles"))
 
 
 def align_all_shuffled(spark, sf_dir):
@@ -207,8 +206,10 @@ def overlap_mismatch(spark, sf_dir):
 
 
 def k_difference_extend(spark, sf_dir):
+    """Right-hand extension of every candidate."""
+    tiles, stats = _tiles(spark, sf_dir)
     candidates = gapped.gapped_candidates(
-        fixtures.reference(spark, sf_dir), _reads(spark, sf_dir), PARAMS, broadcast=False
+        fixtures.reference(spark, sf_dir), tiles, PARAMS, stats, prune=False
     )
     extended = candidates.select(
         "read_id",

@@ -111,8 +111,8 @@ def oracle_sql() -> dict[str, str]:
             FROM pieces""",
         "reference_seeds": f"""
             WITH {_REF},{_SEEDS}
-            SELECT seed, count(*) AS places, count(DISTINCT ref_id) AS sequences,
-                   min(pos) AS first_pos, CAST(sum(pos) AS BIGINT) AS pos_sum
+            SELECT seed, count(*) AS places, min(pos) AS first_pos,
+                   CAST(sum(pos) AS BIGINT) AS pos_sum
             FROM seeds GROUP BY seed""",
         "reference_seed_flanks": f"""
             WITH {_REF},{_SEEDS},
@@ -183,11 +183,11 @@ def oracle_sql() -> dict[str, str]:
         "mismatch_positions": f"""
             WITH {_HITS},
             found AS (SELECT read_id, ref_id, ref_start, is_rc,
-                        list_filter(range(0, 36), lambda i: q[i + 1] <> w[i + 1]) AS at FROM places)
-            SELECT read_id, ref_id, ref_start, is_rc, array_to_string(at, ',') AS positions,
-                   array_to_string(list_transform(range(0, len(at) + 1), lambda i:
-                     CASE WHEN i = len(at) THEN 36 ELSE at[i + 1] END
-                     - CASE WHEN i = 0 THEN 0 ELSE at[i] END), ',') AS runs
+                        list_filter(range(0, 36), lambda i: q[i + 1] <> w[i + 1]) AS found_at FROM places)
+            SELECT read_id, ref_id, ref_start, is_rc, array_to_string(found_at, ',') AS positions,
+                   array_to_string(list_transform(range(0, len(found_at) + 1), lambda i:
+                     CASE WHEN i = len(found_at) THEN 36 ELSE found_at[i + 1] END
+                     - CASE WHEN i = 0 THEN 0 ELSE found_at[i] END), ',') AS runs
             FROM found""",
         "overlap_mismatch": f"""
             WITH {_READS},

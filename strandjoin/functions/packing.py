@@ -31,6 +31,10 @@ def to_digits(seq: Column) -> Column:
     return F.translate(seq, BASE_LETTERS, BASE_DIGITS)
 
 
+def from_digits(digits: Column) -> Column:
+    return F.translate(digits, BASE_DIGITS, BASE_LETTERS)
+
+
 def complement_digits(digits: Column) -> Column:
     return F.translate(digits, BASE_DIGITS, COMPLEMENT_DIGITS)
 
@@ -56,6 +60,11 @@ def pack_array(digits: Column) -> Column:
     return F.transform(cut, pack_digits)
 
 
+def unpack_frame(words: Sequence[Column]) -> Column:
+    """The digits of all words as one string, padding included."""
+    return F.concat(*[F.lpad(F.conv(w, 10, 8), BASES_PER_WORD, "0") for w in words])
+
+
 def _shift_left(word: Column, bits: Column | int) -> Column:
     return F.call_function("shiftleft", word, bits if isinstance(bits, Column) else F.lit(bits))
 

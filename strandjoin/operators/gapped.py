@@ -2,89 +2,119 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packing as P
 from ..functions.edits import k_difference
 from ..params import AlignParams
-from .joins import ReadStats, uses_broadcast
-from .seeds import read_seeds, reference_seeds
+from .joins import ReadStats, join_packed_seeds
+from .seeds import packed_reference_seeds
+from .sequences import computed_once
 from .verify import any_of
 
 TRACE_TYPE = "array<struct<pos: int, op: string>>"
 
 
-def _probe_layout(params: AlignParams, tile: int) -> list[tuple[str, int, int]]:
-    """k + 1 disjoint stretches (side, start, length) of the bases beside a tile.
+def _probe_size(params: AlignParams) -> int:
+    """Longest stretch of which k + 1 fit beside every tile, none straddling the tile."""
+    size = (params.min_len - params.seed_len) // (params.k + 1)
+    sides = [
+        (tile * params.seed_len, params.min_len - (tile + 1) * params.seed_len)
+        for tile in range(params.min_len // params.seed_len)
+    ]
+    while size and any(a // size + b // size < params.k + 1 for a, b in sides):
+        size -= 1
+    return size
+
+
+def with_probes(tiles: DataFrame, params: AlignParams) -> DataFrame:
+    """Add p0..pk, disjoint stretches of the read beside the tile, and their offsets at0..atk.
 
-    An alignment within k edits leaves one of them intact, displaced by at most k.
+    An alignment within k edits leaves one of them intact and displaces it by at most k, so it
+    occurs within size + 2k bases from its offset in the flanked seed of the reference.
     """
-    left = tile * params.seed_len
-    right = params.min_len - left - params.seed_len
-    size = (left + right) // (params.k + 1)
-    while size and left // size + right // size < params.k + 1:
-        size -= 1
-    if not size:
-        return []
-    places = [("left", i * size, size) for i in range(left // size)]
-    places += [("right", i * size, size) for i in range(right // size)]
-    return places[: params.k + 1]
+    size = _probe_size(params)
+    start = F.col("tile") * params.seed_len
+    # Tiles past min_len (mixed lengths) have at least min_len - seed_len bases on their left.
+    on_left = F.least(F.floor(start / size), F.lit(params.k + 1)).cast("int")
+    columns = {}
+    for i in range(params.k + 1):
+        begin = F.when(on_left > i, i * size).otherwise(
+            start + params.seed_len + (F.lit(i) - on_left) * size
+        )
+        columns[f"p{i}"] = F.substr("digits", begin + 1, F.lit(size))
+        columns[f"at{i}"] = begin - start + params.flank_len - params.k + 1
+    return tiles.withColumns(columns)
 
 
 def may_align(params: AlignParams) -> Column:
-    """Necessary condition, cheap enough for every candidate: one stretch occurs in its range."""
-    k, condition = params.k, None
-    for tile in range(params.n_tiles):
-        layout = _probe_layout(params, tile)
-        found = [
-            F.substring(
-                F.col(f"ref_{side}"), 1 + max(start - k, 0), size + k + min(start, k)
-            ).contains(F.substring(F.col(f"read_{side}"), 1 + start, size))
-            for side, start, size in layout
+    """Necessary condition, cheap enough for every candidate: one probe occurs in its range."""
+    width = _probe_size(params) + 2 * params.k
+    return any_of(
+        [
+            F.substr("around", F.col(f"at{i}"), F.lit(width)).contains(F.col(f"p{i}"))
+            for i in range(params.k + 1)
         ]
-        test = any_of(found) if found else F.lit(True)
-        at = F.col("tile_start") == tile * params.seed_len
-        condition = F.when(at, test) if condition is None else condition.when(at, test)
-    return condition.otherwise(True)
+    )
 
 
 def extend_both_sides(candidates: DataFrame, params: AlignParams) -> DataFrame:
     """Left flank with k edits, right flank with what is left of them."""
-    k = params.k
-    sided = candidates.withColumn("l", k_difference(F.col("ref_left"), F.col("read_left"), k))
-    sided = sided.where(F.col("l").isNotNull())
-    sided = sided.withColumn("r", k_difference(F.col("ref_right"), F.col("read_right"), k))
-    return sided.where(F.col("l.differences") + F.col("r.differences") <= k)
+    left = k_difference(F.col("ref_left"), F.col("read_left"), params.k)
+    right = k_difference(F.col("ref_right"), F.col("read_right"), params.k)
+    sided = candidates.select("*", computed_once(left).alias("l")).where("l IS NOT NULL")
+    sided = sided.select("*", computed_once(right).alias("r"))
+    return sided.where(F.col("l.differences") + F.col("r.differences") <= params.k)
 
 
 def gapped_candidates(
-    sequences: DataFrame, reads: DataFrame, params: AlignParams, broadcast: bool
+    sequences: DataFrame,
+    tiles: DataFrame,
+    params: AlignParams,
+    stats: ReadStats,
+    prune: bool = True,
 ) -> DataFrame:
-    """Seed join of text seeds that keeps the flanks of both sides."""
-    places = reference_seeds(sequences, params, flanks=True).select(
-        "ref_id",
-        "pos",
-        "seed",
-        F.col("left_flank").alias("ref_left"),
-        F.col("right_flank").alias("ref_right"),
-    )
-    tiles = read_seeds(reads, params, flanks=True).select(
+    """Seed join with the flanks of both sides as digit strings.
+
+    Only packed words travel with a place; its text is rebuilt for candidates alone. With
+    ``prune`` candidates that fail the probes are left out: they cannot align within k edits.
+    """
+    s, flank, words = params.seed_len, params.flank_len, params.flank_words
+    places = packed_reference_seeds(sequences, params, full_flanks=True)
+    kept = ["read_id", "is_rc", "tile", "digits", "seed"]
+    probed = tiles.select(*kept)
+    prune = prune and _probe_size(params) > 0
+    if prune:
+        probed = with_probes(probed, params)
+    joined = join_packed_seeds(places, probed, params, stats, refine=False)
+    around = P.unpack_frame([F.col(f"c{i}") for i in range(words)])
+    found = joined.select("*", computed_once(around).alias("around"))
+    if prune:
+        found = found.where(may_align(params))
+    start = F.col("tile") * s
+    left = F.substring("around", 1, flank)
+    right = F.substring("around", flank + s + 1, flank)
+    return found.select(
         "read_id",
         "is_rc",
-        "seed",
-        F.col("pos").alias("tile_start"),
-        F.col("left_flank").alias("read_left"),
-        F.col("right_flank").alias("read_right"),
+        "ref_id",
+        "pos",
+        start.alias("tile_start"),
+        F.substring("around", flank + 1, s).alias("seed"),
+        F.reverse(F.ltrim(left, F.lit(P.PAD_DIGIT))).alias("ref_left"),
+        F.rtrim(right, F.lit(P.PAD_DIGIT)).alias("ref_right"),
+        F.reverse(F.substr("digits", F.lit(1), start)).alias("read_left"),
+        F.substr("digits", start + s + 1).alias("read_right"),
     )
-    return places.join(F.broadcast(tiles) if broadcast else tiles.hint("merge"), "seed")
 
 
 def gapped_substring_join(
     sequences: DataFrame,
-    reads: DataFrame,
+    tiles: DataFrame,
     params: AlignParams,
     stats: ReadStats,
     edits: bool = False,
@@ -94,8 +124,8 @@ def gapped_substring_join(
     The same place is reached through several tiles and several seed positions, so here the
     rows are combined by an aggregate instead of by a test on the tiles.
     """
-    candidates = gapped_candidates(sequences, reads, params, uses_broadcast(params, stats))
-    extended = extend_both_sides(candidates.where(may_align(params)), params)
+    candidates = gapped_candidates(sequences, tiles, params, stats)
+    extended = extend_both_sides(candidates, params)
     ref_end = F.col("pos") + params.seed_len + F.col("r.aligned_len")
     rows = extended.select(
         "read_id",
@@ -106,12 +136,16 @@ def gapped_substring_join(
         "is_rc",
         *(
             [
-                F.concat(
-                    F.reverse(F.substr("ref_left", F.lit(1), F.col("l.aligned_len"))),
-                    "seed",
-                    F.substr("ref_right", F.lit(1), F.col("r.aligned_len")),
+                P.from_digits(
+                    F.concat(
+                        F.reverse(F.substr("ref_left", F.lit(1), F.col("l.aligned_len"))),
+                        "seed",
+                        F.substr("ref_right", F.lit(1), F.col("r.aligned_len")),
+                    )
                 ).alias("ref_text"),
-                F.concat(F.reverse("read_left"), "seed", "read_right").alias("read_text"),
+                P.from_digits(
+                    F.concat(F.reverse("read_left"), "seed", "read_right")
+                ).alias("read_text"),
             ]
             if edits
             else []
@@ -127,31 +161,39 @@ def gapped_substring_join(
     return trace_edits(best.select(*columns, "ref_text", "read_text"))
 
 
-def _trace(text: str, pattern: str) -> list[tuple[int, str]]:
-    """One least-cost edit list turning ``pattern`` into ``text``; pos counts read bases."""
-    width = len(text) + 1
-    cost = [list(range(width))]
-    for i, base in enumerate(pattern, 1):
-        row, above = [i], cost[-1]
-        for j in range(1, width):
-            row.append(
-                min(above[j - 1] + (base != text[j - 1]), row[j - 1] + 1, above[j] + 1)
-            )
-        cost.append(row)
-    i, j, found = len(pattern), len(text), []
-    while i or j:
-        here = cost[i][j]
-        if i and j and here == cost[i - 1][j - 1] + (pattern[i - 1] != text[j - 1]):
-            i, j = i - 1, j - 1
-            if pattern[i] != text[j]:
-                found.append((i, "mismatch"))
-        elif j and here == cost[i][j - 1] + 1:
-            j -= 1
-            found.append((i, "reference_base"))
-        else:
-            i -= 1
-            found.append((i, "read_base"))
-    return found[::-1]
+def edit_tracer() -> Callable[[str, str], list[tuple[int, str]]]:
+    """A function of (reference text, read text) that lists one least-cost set of edits.
+
+    Positions count read bases. The function is nested so that it is shipped to the workers by
+    value and the package need not be installed there.
+    """
+
+    def trace(text: str, pattern: str) -> list[tuple[int, str]]:
+        width = len(text) + 1
+        cost = [list(range(width))]
+        for i, base in enumerate(pattern, 1):
+            row, above = [i], cost[-1]
+            for j in range(1, width):
+                row.append(
+                    min(above[j - 1] + (base != text[j - 1]), row[j - 1] + 1, above[j] + 1)
+                )
+            cost.append(row)
+        i, j, found = len(pattern), len(text), []
+        while i or j:
+            here = cost[i][j]
+            if i and j and here == cost[i - 1][j - 1] + (pattern[i - 1] != text[j - 1]):
+                i, j = i - 1, j - 1
+                if pattern[i] != text[j]:
+                    found.append((i, "mismatch"))
+            elif j and here == cost[i][j - 1] + 1:
+                j -= 1
+                found.append((i, "reference_base"))
+            else:
+                i -= 1
+                found.append((i, "read_base"))
+        return found[::-1]
+
+    return trace
 
 
 def trace_edits(alignments: DataFrame) -> DataFrame:
@@ -161,11 +203,12 @@ def trace_edits(alignments: DataFrame) -> DataFrame:
     and on verified alignments only.
     """
     kept = [c for c in alignments.columns if c not in ("ref_text", "read_text")]
+    trace = edit_tracer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             traces = [
-                [{"pos": p, "op": op} for p, op in _trace(t, q)]
+                [{"pos": p, "op": op} for p, op in trace(t, q)]
                 for t, q in zip(batch["ref_text"], batch["read_text"])
             ]
             yield batch[kept].assign(edits=traces)

@@ -11,7 +11,6 @@ from ..functions import packing as P
 from ..params import AlignParams
 from .seeds import (
     frame_columns,
-    packed_read_tiles,
     packed_reference_seeds,
     salt_reads,
     salt_reference,
@@ -76,9 +75,11 @@ class ReadStats:
         return rows * (8 * columns + 32)
 
 
-def read_stats(distinct: DataFrame, params: AlignParams) -> ReadStats:
-    """One small job over the reads: a partial aggregate by seed, then a single row."""
-    tiles = packed_read_tiles(distinct, params)
+def read_stats(tiles: DataFrame) -> ReadStats:
+    """One small job over the reads: a partial aggregate by seed, then a single row.
+
+    ``tiles`` come from :func:`packed_read_tiles` of distinct reads.
+    """
     per_seed = tiles.groupBy("seed").agg(
         F.count(F.lit(1)).alias("n"), F.max("copies").alias("copies")
     )
@@ -211,34 +212,40 @@ def salt_heavy_seeds(
     return spread.drop("salts"), copied.drop("salts"), True
 
 
-def find_candidates(
-    sequences: DataFrame, reads: DataFrame, params: AlignParams, stats: ReadStats
+def join_packed_seeds(
+    positions: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats, refine: bool
 ) -> DataFrame:
-    """Seed equi-join of packed read tiles with packed reference places.
+    """Seed equi-join of reference places with read tiles.
 
     A read side of checked size is broadcast and the reference is never shuffled. Beyond that
-    both sides are shuffled by seed, with heavy seeds salted. In either case seeds with many
-    read tiles get an extended key.
+    both sides are shuffled by seed, with heavy seeds salted. With ``refine`` seeds that have
+    many read tiles get an extended key in either case.
     """
-    positions = packed_reference_seeds(sequences, params)
-    tiles = packed_read_tiles(reads.select("read_id", "seq"), params)
     keys = ["seed"]
     broadcast = uses_broadcast(params, stats)
     salted = False
     if not broadcast:
         positions, tiles, salted = salt_heavy_seeds(positions, tiles, params)
-    refined = stats.refines(params)
-    if refined:
+    if refine:
         positions, tiles, keys = refine_hot_seeds(
             positions, tiles, params, stats.refine_threshold(params)
         )
     if salted:
         keys = [*keys, "salt"]
-    joined = positions.join(
-        F.broadcast(tiles) if broadcast else tiles.hint("merge"), keys, "inner"
+    return positions.join(F.broadcast(tiles) if broadcast else tiles.hint("merge"), keys, "inner")
+
+
+def find_candidates(
+    sequences: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats
+) -> DataFrame:
+    """Places and read tiles with a seed in common, with their mismatches marked."""
+    positions = packed_reference_seeds(sequences, params)
+    refine = stats.refines(params)
+    joined = join_packed_seeds(
+        positions, tiles.drop("digits", "copies"), params, stats, refine
     )
     candidates = mark_mismatches(joined, params)
-    return candidates.where(is_first_group(params)) if refined else candidates
+    return candidates.where(is_first_group(params)) if refine else candidates
 
 
 def uses_broadcast(params: AlignParams, stats: ReadStats) -> bool:
@@ -249,14 +256,14 @@ def uses_broadcast(params: AlignParams, stats: ReadStats) -> bool:
 
 def approx_substring_join(
     sequences: DataFrame,
-    reads: DataFrame,
+    tiles: DataFrame,
     params: AlignParams,
     stats: ReadStats,
     edits: bool = False,
 ) -> DataFrame:
     """All places where a read lies within k substitutions of the reference, each once.
 
-    ``reads`` is prepared and holds each text once; see :func:`distinct_reads`.
+    ``tiles`` should come from distinct reads; copies are cheaper to bring back afterwards.
     """
-    candidates = find_candidates(sequences, reads, params, stats)
+    candidates = find_candidates(sequences, tiles, params, stats)
     return project_alignments(verify_candidates(candidates, params), params, edits)

@@ -15,20 +15,26 @@ def frame_columns(prefix: str, params: AlignParams) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(params.frame_words)]
 
 
-def packed_reference_seeds(sequences: DataFrame, params: AlignParams) -> DataFrame:
+def packed_reference_seeds(
+    sequences: DataFrame, params: AlignParams, full_flanks: bool = False
+) -> DataFrame:
     """One narrow row per seed position: (ref_id, pos, seed, c0, c1, ...).
 
     c0.. hold the frame of the position, that is all bases a read could cover whichever of
-    its tiles sits on the seed. Sequence -> pieces -> 21-base words -> positions: text is packed
-    once per word, and a position costs a few shifts of neighbouring words.
+    its tiles sits on the seed, or with ``full_flanks`` the seed and ``flank_len`` bases on
+    either side. Sequence -> pieces -> 21-base words -> positions: text is packed once per word,
+    and a position costs a few shifts of neighbouring words.
     """
-    words_after = params.frame_words
+    if full_flanks:
+        left, words_after = params.flank_len, params.flank_words
+    else:
+        left, words_after = params.left_reach, params.frame_words
     blocks_per_piece = params.piece_len // BASES_PER_WORD
     rows = prepare_sequences(sequences)
     first, end = owned_seeds(params, F.length("seq"))
     # Padding on the left makes the frame of local position p start at padded index p.
     padded = F.concat(
-        F.lit(P.PAD_DIGIT * params.left_reach),
+        F.lit(P.PAD_DIGIT * left),
         P.to_digits(F.col("seq")),
         F.lit(P.PAD_DIGIT * BASES_PER_WORD * (words_after + 1)),
     )
@@ -70,7 +76,7 @@ def packed_reference_seeds(sequences: DataFrame, params: AlignParams) -> DataFra
     )
     frame = P.shift_words([F.col(f"w{i}") for i in range(words_after + 1)], F.col("shift"))
     local = F.col("start") + F.col("shift")
-    seed = P.slice_value(frame, params.left_reach, params.seed_len)
+    seed = P.slice_value(frame, left, params.seed_len)
     # N and padding are the digits with the high bit, so one test drops both.
     no_base = int(P.N_DIGIT * params.seed_len, 8)
     return places.where(
@@ -89,8 +95,9 @@ def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
     """Tiles of both strands, each with the read laid into the frame of that tile.
 
     ``reads`` is (read_id, seq) plus any other columns, prepared. Output: those other columns,
-    read_id, is_rc, tile, read_len, seed, need, f0, f1, ... Bit d - 1 of ``need`` says that the
-    tile d places to the left could have been a seed itself (it holds no N).
+    read_id, is_rc, tile, read_len, digits, seed, need, f0, f1, ... Bit d - 1 of ``need`` says
+    that the tile d places to the left could have been a seed itself (it holds no N). Columns that
+    a plan does not use, such as ``digits`` of the whole read, are pruned from it.
     """
     s = params.seed_len
     digits = F.col("digits")
@@ -137,6 +144,7 @@ def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
         "is_rc",
         "tile",
         "read_len",
+        "digits",
         F.conv(seed_digits, 8, 10).cast("bigint").alias("seed"),
         need.alias("need"),
         *[w.alias(f"f{i}") for i, w in enumerate(P.pack_frame(frame, params.frame_words))],

@@ -45,7 +45,7 @@ class AlignParams:
             raise ValueError("on_bad_length must be 'fail' or 'drop'")
         if self.strategy not in ("auto", "broadcast", "shuffle"):
             raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
-        if self.piece_len < self.frame_len or self.piece_len % BASES_PER_WORD:
+        if self.piece_len < 2 * self.max_len or self.piece_len % BASES_PER_WORD:
             raise ValueError("piece_len must be a multiple of 21 and cover one frame")
         if min(self.refine_fanout, self.salt_rows) < 1:
             raise ValueError("refine_fanout and salt_rows must be positive")
@@ -78,5 +78,6 @@ class AlignParams:
         return -(-self.frame_len // BASES_PER_WORD)
 
     @property
-    def fixed_length(self) -> bool:
-        return self.min_len == self.max_len
+    def flank_words(self) -> int:
+        """Words that hold a seed and both of its flanks."""
+        return -(-(2 * self.flank_len + self.seed_len) // BASES_PER_WORD)

@@ -15,6 +15,7 @@ from ..operators.joins import (
     read_stats,
     uses_broadcast,
 )
+from ..operators.seeds import packed_read_tiles
 from ..operators.select import best_hit, unambiguous
 from ..operators.sequences import prepare_reads
 from ..params import AlignParams
@@ -47,9 +48,10 @@ def _search(
 ) -> _Search:
     prepared = prepare_reads(reads, params)
     distinct = distinct_reads(prepared)
-    stats = read_stats(distinct, params)
+    tiles = packed_read_tiles(distinct, params)
+    stats = read_stats(tiles)
     join = gapped_substring_join if params.allow_differences else approx_substring_join
-    hits = join(sequences, distinct, params, stats, edits)
+    hits = join(sequences, tiles, params, stats, edits)
     return _Search(prepared, distinct, stats, params, hits)
 
 
