@@ -15,6 +15,7 @@ import oracle_queries  # noqa: E402
 from strandjoin import AlignParams, align, align_best, align_unique, fixtures  # noqa: E402
 from strandjoin.functions import bases as B  # noqa: E402
 from strandjoin.functions import edits as E  # noqa: E402
+from strandjoin.functions.packing import unpack_seed  # noqa: E402
 from strandjoin.operators import gapped, joins, select, seeds, sequences, verify  # noqa: E402
 from strandjoin.sources import alignments as A  # noqa: E402
 from strandjoin.sources import sequences as S  # noqa: E402
@@ -65,13 +66,19 @@ def chunk_sequences(spark, sf_dir):
     return sequences.chunk_ownership(chunks, PARAMS)
 
 
+def _seed_text():
+    return unpack_seed(F.col("seed"), PARAMS.seed_len)
+
+
 def reference_seeds(spark, sf_dir):
-    found = seeds.reference_seeds(fixtures.reference(spark, sf_dir), PARAMS)
-    return found.groupBy("seed").agg(
+    """Counted as packed numbers; only the grouped rows become text."""
+    found = seeds.packed_reference_seeds(fixtures.reference(spark, sf_dir), PARAMS)
+    counted = found.groupBy("seed").agg(
         F.count(F.lit(1)).alias("places"),
         F.min("pos").alias("first_pos"),
         F.sum("pos").alias("pos_sum"),
     )
+    return counted.withColumn("seed", _seed_text())
 
 
 def reference_seed_flanks(spark, sf_dir):
@@ -91,8 +98,8 @@ def read_seeds(spark, sf_dir):
 
 
 def pack_kmer(spark, sf_dir):
-    found = seeds.reference_seeds(fixtures.reference(spark, sf_dir), PARAMS)
-    kmers = found.select("seed").distinct()
+    found = seeds.packed_reference_seeds(fixtures.reference(spark, sf_dir), PARAMS)
+    kmers = found.select("seed").distinct().select(_seed_text().alias("seed"))
     return kmers.select("seed", B.pack_kmer(F.col("seed")).alias("packed"))
 
 
@@ -121,14 +128,11 @@ def _tiles(spark, sf_dir):
     return tiles, joins.read_stats(tiles)
 
 
-def _candidates(spark, sf_dir):
-    tiles, stats = _tiles(spark, sf_dir)
-    return joins.find_candidates(fixtures.reference(spark, sf_dir), tiles, PARAMS, stats)
-
-
 def seed_candidates_per_read(spark, sf_dir):
-    counted = _candidates(spark, sf_dir).groupBy("read_id", "is_rc")
-    return counted.agg(F.count(F.lit(1)).alias("candidates"))
+    tiles, stats = _tiles(spark, sf_dir)
+    places = seeds.packed_reference_seeds(fixtures.reference(spark, sf_dir), PARAMS)
+    joined = joins.join_packed_seeds(places, tiles, PARAMS, stats, refine=False)
+    return joined.groupBy("read_id", "is_rc").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def salted_seed_join(spark, sf_dir):
@@ -142,7 +146,10 @@ def salted_seed_join(spark, sf_dir):
 
 def k_mismatch_verify(spark, sf_dir):
     """Candidates within k, before repeated finds of a place are dropped."""
-    close = verify.within_k(_candidates(spark, sf_dir), PARAMS)
+    tiles, stats = _tiles(spark, sf_dir)
+    reference = fixtures.reference(spark, sf_dir)
+    candidates = joins.find_candidates(reference, tiles, PARAMS, stats)
+    close = verify.within_k(candidates, PARAMS)
     differences = verify.count_differences(PARAMS).cast("int").alias("differences")
     counted = close.groupBy("read_id", "is_rc", differences)
     return counted.agg(F.count(F.lit(1)).alias("clean_tiles"))
@@ -170,7 +177,7 @@ def unique(spark, sf_dir):
 
 
 def ambiguous_reads(spark, sf_dir):
-    return select.ambiguous_reads(_align_all(spark, sf_dir))
+    return select.ambiguous_reads(_align_all(spark, sf_dir), PARAMS.k)
 
 
 def alignment_count(spark, sf_dir):

@@ -2,5 +2,6 @@
 
 from .params import AlignParams
 from .plans.align import align, align_best, align_unique
+from .plans.job import JobSummary, run_alignment
 
-__all__ = ["AlignParams", "align", "align_best", "align_unique"]
+__all__ = ["AlignParams", "JobSummary", "align", "align_best", "align_unique", "run_alignment"]

@@ -60,6 +60,11 @@ def pack_array(digits: Column) -> Column:
     return F.transform(cut, pack_digits)
 
 
+def unpack_seed(seed: Column, length: int) -> Column:
+    """The letters of a packed seed."""
+    return from_digits(F.lpad(F.conv(seed, 10, 8), length, "0"))
+
+
 def unpack_frame(words: Sequence[Column]) -> Column:
     """The digits of all words as one string, padding included."""
     return F.concat(*[F.lpad(F.conv(w, 10, 8), BASES_PER_WORD, "0") for w in words])

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import packing as P
 from ..params import AlignParams
 from .seeds import (
     frame_columns,
@@ -15,7 +14,7 @@ from .seeds import (
     salt_reads,
     salt_reference,
 )
-from .verify import all_of, any_of, mark_mismatches, project_alignments, verify_candidates
+from .verify import group_lookup, mark_mismatches, project_alignments, verify_candidates
 
 # Upper bound of the list of seeds that get salts; it is collected, so it must stay small.
 MAX_SALTED_SEEDS = 65_536
@@ -91,92 +90,51 @@ def read_stats(tiles: DataFrame) -> ReadStats:
     return ReadStats(row["rows"], row["fanout"], row["copies"])
 
 
-def _group_masks(params: AlignParams) -> list[list[list[int]]]:
-    """Frame masks of the key extension, by tile and group.
-
-    With one tile clean, all differences lie in the other bases. Cutting those into k + 1 groups
-    leaves one group clean again, so (seed, group) still finds every place and is far rarer.
-    """
-    result = []
-    for tile in range(params.min_len // params.seed_len):
-        start = tile * params.seed_len
-        rest = [b for b in range(params.min_len) if not start <= b < start + params.seed_len]
-        bounds = [len(rest) * g // (params.k + 1) for g in range(params.k + 2)]
-        result.append(
-            [
-                P.base_masks(
-                    [params.left_reach - start + b for b in rest[lo:hi]], params.frame_words
-                )
-                for lo, hi in zip(bounds, bounds[1:])
-            ]
-        )
-    return result
-
-
-def _extended_keys(params: AlignParams, prefix: str) -> tuple[Column, list[Column]]:
-    """The plain key entry, and per tile an array with one key entry for each group."""
-    frame = frame_columns(prefix, params)
-    names = [f"x{i}" for i in range(params.frame_words)]
-
-    def entry(sub: int, masks: list[int]) -> Column:
-        keys = [w.bitwiseAND(F.lit(m).cast("bigint")) for w, m in zip(frame, masks)]
-        return F.struct(F.lit(sub).alias("sub"), *[x.alias(n) for x, n in zip(keys, names)])
-
-    tiles = [
-        F.array(*[entry(tile * (params.k + 1) + g, masks) for g, masks in enumerate(groups)])
-        for tile, groups in enumerate(_group_masks(params))
-    ]
-    return F.array(entry(-1, [0] * params.frame_words)), tiles
-
-
 def refine_hot_seeds(
     positions: DataFrame, tiles: DataFrame, params: AlignParams, threshold: int
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides keyed by (seed, sub, x0, ...) so that crowded seeds are split by content.
 
-    The hot list is broadcast: more than ``threshold`` tiles share each of its seeds, hence it
-    has fewer than tile_rows / threshold entries.
+    ``sub`` is -1 on ordinary seeds and names a tile and a group on hot ones, where x0.. are the
+    bases of that group. A place becomes a row for each tile and group, a read tile for each of
+    its groups. The hot list is broadcast: more than ``threshold`` tiles share each of its
+    seeds, hence it has fewer than tile_rows / threshold entries.
     """
-    hot = (
+    first_tiles, k1 = params.min_len // params.seed_len, params.k + 1
+    hot = F.broadcast(
         tiles.groupBy("seed")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > threshold)
         .select("seed", F.lit(True).alias("hot"))
     )
-    plain, by_tile = _extended_keys(params, "f")
-    read_entries = F.when(F.col("hot").isNull(), plain)
-    for tile, entries in enumerate(by_tile):
-        read_entries = read_entries.when(F.col("tile") == tile, entries)
     # Tiles past min_len (mixed lengths) keep the plain key on hot seeds too.
-    read_entries = read_entries.otherwise(plain)
-    plain, by_tile = _extended_keys(params, "c")
-    all_entries = F.concat(*by_tile, *([plain] if params.n_tiles > len(by_tile) else []))
-    place_entries = F.when(F.col("hot").isNull(), plain).otherwise(all_entries)
-    hot = F.broadcast(hot)
-    refined = [
-        side.join(hot, "seed", "left").select("*", F.inline(entries)).drop("hot")
-        for side, entries in ((positions, place_entries), (tiles, read_entries))
-    ]
-    keys = ["seed", "sub", *[f"x{i}" for i in range(params.frame_words)]]
-    return refined[0], refined[1], keys
-
-
-def is_first_group(params: AlignParams) -> Column:
-    """On an extended key: no earlier group of the same tile is clean as well."""
-    flat = [masks for groups in _group_masks(params) for masks in groups]
-    lookup = [
-        F.array(*[F.lit(m[w]).cast("bigint") for m in flat]) for w in range(params.frame_words)
-    ]
-    mismatches = frame_columns("m", params)
-    group = F.pmod(F.col("sub"), F.lit(params.k + 1))
-    conditions = []
-    for earlier in range(params.k):
-        at = F.col("sub") - group + earlier
-        dirty = any_of(
-            [m.bitwiseAND(F.get(masks, at)) != 0 for m, masks in zip(mismatches, lookup)]
-        )
-        conditions.append((group <= earlier) | dirty)
-    return (F.col("sub") < 0) | all_of(conditions)
+    lowest = -1 if params.n_tiles > first_tiles else 0
+    of_place = F.sequence(F.lit(lowest), F.lit(first_tiles * k1 - 1))
+    of_tile = F.sequence(F.col("tile") * k1, F.col("tile") * k1 + params.k)
+    plain = F.array(F.lit(-1))
+    extended = F.col("hot").isNotNull()
+    lookup = group_lookup(params)
+
+    def keyed(side: DataFrame, choice: Column, prefix: str) -> DataFrame:
+        rows = side.join(hot, "seed", "left").select("*", F.explode(choice).alias("sub"))
+        frame = frame_columns(prefix, params)
+        keys = {
+            f"x{i}": F.when(F.col("sub") < 0, F.lit(0).cast("bigint")).otherwise(
+                word.bitwiseAND(F.get(masks, F.col("sub")))
+            )
+            for i, (word, masks) in enumerate(zip(frame, lookup))
+        }
+        return rows.drop("hot").withColumns(keys)
+
+    return (
+        keyed(positions, F.when(extended, of_place).otherwise(plain), "c"),
+        keyed(
+            tiles,
+            F.when(extended & (F.col("tile") < first_tiles), of_tile).otherwise(plain),
+            "f",
+        ),
+        ["seed", "sub", *[f"x{i}" for i in range(params.frame_words)]],
+    )
 
 
 def salt_heavy_seeds(
@@ -218,8 +176,9 @@ def join_packed_seeds(
     """Seed equi-join of reference places with read tiles.
 
     A read side of checked size is broadcast and the reference is never shuffled. Beyond that
-    both sides are shuffled by seed, with heavy seeds salted. With ``refine`` seeds that have
-    many read tiles get an extended key in either case.
+    both sides are shuffled by seed, with heavy seeds salted; as long as a partition of the read
+    side fits into a hash table the reference need not be sorted. With ``refine`` seeds that
+    have many read tiles get an extended key in either case.
     """
     keys = ["seed"]
     broadcast = uses_broadcast(params, stats)
@@ -232,20 +191,26 @@ def join_packed_seeds(
         )
     if salted:
         keys = [*keys, "salt"]
-    return positions.join(F.broadcast(tiles) if broadcast else tiles.hint("merge"), keys, "inner")
+    if broadcast:
+        hint = "broadcast"
+    else:
+        partitions = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        fits = stats.estimated_bytes(params) <= partitions * params.hash_bytes
+        hint = "shuffle_hash" if fits else "merge"
+    return positions.join(tiles.hint(hint), keys, "inner")
 
 
 def find_candidates(
     sequences: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats
 ) -> DataFrame:
-    """Places and read tiles with a seed in common, with their mismatches marked."""
+    """Places and read tiles with a seed in common, with their mismatches marked.
+
+    On hot seeds only those that also agree on one more group of bases, as all hits do.
+    """
     positions = packed_reference_seeds(sequences, params)
-    refine = stats.refines(params)
-    joined = join_packed_seeds(
-        positions, tiles.drop("digits", "copies"), params, stats, refine
-    )
-    candidates = mark_mismatches(joined, params)
-    return candidates.where(is_first_group(params)) if refine else candidates
+    tiles = tiles.drop("digits", "copies")
+    joined = join_packed_seeds(positions, tiles, params, stats, stats.refines(params))
+    return mark_mismatches(joined, params)
 
 
 def uses_broadcast(params: AlignParams, stats: ReadStats) -> bool:

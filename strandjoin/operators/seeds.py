@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import packing as P
 from ..functions.bases import has_n, is_homopolymer
 from ..params import BASES_PER_WORD, AlignParams
-from .sequences import expand_strands, linear_split, owned_seeds, prepare_sequences
+from .sequences import computed_once, expand_strands, linear_split, owned_seeds, prepare_sequences
 
 
 def frame_columns(prefix: str, params: AlignParams) -> list[Column]:
@@ -183,7 +183,9 @@ def reference_seeds(sequences: DataFrame, params: AlignParams, flanks: bool = Fa
     )
     local = F.col("start") + F.col("shift")
     seed = F.substr("text", F.col("shift") + flank + 1, F.lit(s))
-    columns = [F.col("ref_id"), (F.col("offset") + local).alias("pos"), seed.alias("seed")]
+    owned = places.where((local >= F.col("first")) & (local < F.col("end")))
+    found = owned.select("*", computed_once(seed).alias("seed")).where(~has_n(F.col("seed")))
+    columns = ["ref_id", (F.col("offset") + local).alias("pos"), "seed"]
     if flanks:
         left = F.substr("text", F.col("shift") + 1, F.lit(flank))
         right = F.substr("text", F.col("shift") + flank + s + 1, F.lit(flank))
@@ -191,9 +193,7 @@ def reference_seeds(sequences: DataFrame, params: AlignParams, flanks: bool = Fa
             F.reverse(F.ltrim(left)).alias("left_flank"),
             F.rtrim(right).alias("right_flank"),
         ]
-    return places.where(
-        (local >= F.col("first")) & (local < F.col("end")) & ~has_n(seed)
-    ).select(*columns)
+    return found.select(*columns)
 
 
 def read_seeds(reads: DataFrame, params: AlignParams, flanks: bool = False) -> DataFrame:

@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 PLACE = ("ref_id", "ref_start", "ref_end", "is_rc")
 
 
-def best_hit(alignments: DataFrame) -> DataFrame:
+def best_hit(alignments: DataFrame, k: int) -> DataFrame:
     """Per read the least differences, how many places reach it, and the first such place.
 
     (read_id, differences, n_best, ref_id, ref_start, ref_end, is_rc). One exchange: the counts
-    per difference and the minimum are both combined before it.
+    per number of differences and the minimum are combined before it.
     """
-    ranked = F.struct("differences", *PLACE)
-    per_level = (
-        alignments.groupBy("read_id", "differences")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ranked).alias("first"))
-        .groupBy("read_id")
-        .agg(F.min(F.struct("differences", "n", "first")).alias("best"))
+    counts = [F.count_if(F.col("differences") == d).alias(f"n{d}") for d in range(k + 1)]
+    first = F.min(F.struct("differences", *PLACE)).alias("first")
+    n_best = F.element_at(
+        F.array(*[F.col(f"n{d}") for d in range(k + 1)]), F.col("first.differences") + 1
     )
-    return per_level.select(
-        "read_id",
-        "best.differences",
-        F.col("best.n").alias("n_best"),
-        *[F.col(f"best.first.{c}").alias(c) for c in PLACE],
+    return (
+        alignments.groupBy("read_id")
+        .agg(first, *counts)
+        .select(
+            "read_id",
+            "first.differences",
+            n_best.alias("n_best"),
+            *[F.col(f"first.{c}").alias(c) for c in PLACE],
+        )
     )
 
 
@@ -67,9 +69,20 @@ def unambiguous(alignments: DataFrame, k: int) -> DataFrame:
     )
 
 
-def ambiguous_reads(alignments: DataFrame) -> DataFrame:
+def ambiguous_reads(alignments: DataFrame, k: int) -> DataFrame:
     """Reads whose least number of differences is reached at several places."""
-    return best_hit(alignments).where("n_best > 1").select("read_id", "differences", "n_best")
+    levels = [F.count_if(F.col("differences") == d).alias(f"n{d}") for d in range(k + 1)]
+    best = F.coalesce(
+        *[
+            F.when(
+                F.col(f"n{d}") > 0,
+                F.struct(F.lit(d).alias("differences"), F.col(f"n{d}").alias("n_best")),
+            )
+            for d in range(k + 1)
+        ]
+    )
+    counted = alignments.groupBy("read_id").agg(*levels).select("read_id", best.alias("best"))
+    return counted.where("best.n_best > 1").select("read_id", "best.differences", "best.n_best")
 
 
 def count_alignments(alignments: DataFrame) -> DataFrame:

@@ -62,12 +62,63 @@ def is_leftmost_seed(params: AlignParams) -> Column:
     return all_of(conditions)
 
 
+def group_masks(params: AlignParams) -> list[list[list[int]]]:
+    """Frame masks of the key extension, by tile and group.
+
+    With one tile clean, all differences lie in the other bases. Cutting those into k + 1 groups
+    leaves one group clean again, so (seed, group) still finds every place and is far rarer.
+    """
+    result = []
+    for tile in range(params.min_len // params.seed_len):
+        start = tile * params.seed_len
+        rest = [b for b in range(params.min_len) if not start <= b < start + params.seed_len]
+        bounds = [len(rest) * g // (params.k + 1) for g in range(params.k + 2)]
+        result.append(
+            [
+                P.base_masks(
+                    [params.left_reach - start + b for b in rest[lo:hi]], params.frame_words
+                )
+                for lo, hi in zip(bounds, bounds[1:])
+            ]
+        )
+    return result
+
+
+def group_lookup(params: AlignParams) -> list[Column]:
+    """Per frame word an array of the group masks, indexed by tile * (k + 1) + group."""
+    flat = [masks for groups in group_masks(params) for masks in groups]
+    return [
+        F.array(*[F.lit(m[w]).cast("bigint") for m in flat]) for w in range(params.frame_words)
+    ]
+
+
+def is_first_group(params: AlignParams) -> Column:
+    """On an extended key: no earlier group of the same tile is clean as well."""
+    lookup = group_lookup(params)
+    mismatches = frame_columns("m", params)
+    group = F.pmod(F.col("sub"), F.lit(params.k + 1))
+    conditions = []
+    for earlier in range(params.k):
+        at = F.col("sub") - group + earlier
+        dirty = any_of(
+            [m.bitwiseAND(F.get(masks, at)) != 0 for m, masks in zip(mismatches, lookup)]
+        )
+        conditions.append((group <= earlier) | dirty)
+    return (F.col("sub") < 0) | all_of(conditions)
+
+
 def within_k(candidates: DataFrame, params: AlignParams) -> DataFrame:
     """Marked candidates within k substitutions that lie wholly inside the reference.
 
-    The count comes first: it discards nearly all candidates before the rest is evaluated.
+    Only this short test becomes part of the join condition. What follows reads the marks of the
+    few survivors through a generator, which keeps the code generated for the join small enough
+    for the JVM to compile it.
     """
-    return candidates.where((count_differences(params) <= params.k) & inside_sequence(params))
+    close = candidates.where((count_differences(params) <= params.k) & inside_sequence(params))
+    marks = [f"m{i}" for i in range(params.frame_words)]
+    others = [c for c in close.columns if c not in marks]
+    kept = close.select(*others, F.inline(F.array(F.struct(*marks))))
+    return kept.where(is_first_group(params)) if "sub" in kept.columns else kept
 
 
 def verify_candidates(candidates: DataFrame, params: AlignParams) -> DataFrame:

@@ -27,6 +27,7 @@ class AlignParams:
     strategy: str = "auto"  # "broadcast", "shuffle", or decide by the measured size
     piece_len: int = BASES_PER_WORD * 192  # seed positions handled per piece
     broadcast_bytes: int = 256 << 20  # largest estimated read-tile table to broadcast
+    hash_bytes: int = 64 << 20  # average read tiles per shuffle partition to join without sorting
     refine_fanout: int = 512  # read tiles on one seed above which its key is extended
     salt_rows: int = 4 << 20  # places of one seed per salt in the shuffled join
 

@@ -76,7 +76,7 @@ def align_best(
 ) -> DataFrame:
     """Best place of every aligned read and the number of places that tie with it."""
     found = _search(sequences, reads, params)
-    return found.for_all_reads(best_hit(found.hits))
+    return found.for_all_reads(best_hit(found.hits, params.k))
 
 
 def align_unique(

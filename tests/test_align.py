@@ -34,6 +34,7 @@ def change(seq, *positions):
 VARIANTS = {
     "broadcast": AlignParams(strategy="broadcast"),
     "shuffle": AlignParams(strategy="shuffle"),
+    "sort_merge": AlignParams(strategy="shuffle", hash_bytes=1),
     "shuffle_salted": AlignParams(strategy="shuffle", salt_rows=3),
     "refined": AlignParams(refine_fanout=1),
     "refined_shuffle_salted": AlignParams(strategy="shuffle", refine_fanout=2, salt_rows=3),
@@ -245,7 +246,9 @@ def test_broadcast_only_within_the_size_limit(spark):
 
     assert "BroadcastHashJoin" in plan(AlignParams())
     over = plan(AlignParams(broadcast_bytes=10))
-    assert "SortMergeJoin" in over and "BroadcastHashJoin" not in over
+    assert "ShuffledHashJoin" in over and "BroadcastHashJoin" not in over
+    far_over = plan(AlignParams(broadcast_bytes=10, hash_bytes=10))
+    assert "SortMergeJoin" in far_over and "ShuffledHashJoin" not in far_over
 
 
 @pytest.mark.parametrize(

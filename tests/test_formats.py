@@ -7,7 +7,7 @@ from strandjoin.operators.gapped import edit_tracer
 from strandjoin.operators.sequences import chunk_ownership, chunk_sequences, linear_split
 from strandjoin.operators.seeds import read_seeds, salt_reads, salt_reference
 from strandjoin.operators.joins import salted_seed_join, seed_join
-from strandjoin import AlignParams
+from strandjoin import AlignParams, run_alignment
 from strandjoin.sources import alignments as A
 from strandjoin.sources import sequences as S
 
@@ -150,3 +150,18 @@ def test_salts_do_not_change_the_join(spark, redundancy):
     assert sorted(salted.select(plain.columns).collect()) == sorted(plain.collect())
     assert salt_reference(places, redundancy).count() == 2 * redundancy + 1
     assert salt_reads(tiles, redundancy).where("salt < 0").count() == 0
+
+
+def test_job_writes_both_tables(spark, tmp_path):
+    read = "ACGTTGCAAGGCTTACCGATAGCATTCGGACTGATC"
+    other = "TTGACCATGGCAATCGTCAGGTACCTTAGACCGTAA"
+    refs = spark.createDataFrame([(0, read + other), (1, other)], "seq_id bigint, seq string")
+    reads = spark.createDataFrame([(1, read), (2, other)], "read_id bigint, seq string")
+    summary = run_alignment(refs, reads, str(tmp_path / "out"))
+    assert (summary.alignments, summary.unambiguous) == (3, 1)
+    assert A.read_alignments(spark, str(tmp_path / "out-alignments")).count() == 3
+    assert [tuple(r) for r in A.read_alignments(spark, str(tmp_path / "out")).collect()] == [
+        (1, 0, 0, 36, 0, False)
+    ]
+    with pytest.raises(Exception, match="(?i)exists"):
+        run_alignment(refs, reads, str(tmp_path / "out"))
