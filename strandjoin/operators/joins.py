@@ -214,9 +214,8 @@ def find_candidates(
 
 
 def uses_broadcast(params: AlignParams, stats: ReadStats) -> bool:
-    if params.strategy == "auto":
-        return stats.estimated_bytes(params) <= params.broadcast_bytes
-    return params.strategy == "broadcast"
+    """Only a read side of measured size is broadcast; no setting forces it."""
+    return params.strategy == "auto" and stats.estimated_bytes(params) <= params.broadcast_bytes
 
 
 def approx_substring_join(

@@ -24,7 +24,7 @@ class AlignParams:
     on_bad_length: str = "fail"  # or "drop"
 
     # Physical tuning.
-    strategy: str = "auto"  # "broadcast", "shuffle", or decide by the measured size
+    strategy: str = "auto"  # decide by the measured size, or always "shuffle"
     piece_len: int = BASES_PER_WORD * 192  # seed positions handled per piece
     broadcast_bytes: int = 256 << 20  # largest estimated read-tile table to broadcast
     hash_bytes: int = 64 << 20  # average read tiles per shuffle partition to join without sorting
@@ -44,8 +44,8 @@ class AlignParams:
             raise ValueError("chunk_overlap is too short to hold a seed and both flanks")
         if self.on_bad_length not in ("fail", "drop"):
             raise ValueError("on_bad_length must be 'fail' or 'drop'")
-        if self.strategy not in ("auto", "broadcast", "shuffle"):
-            raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
+        if self.strategy not in ("auto", "shuffle"):
+            raise ValueError("strategy must be 'auto' or 'shuffle'")
         if self.piece_len < 2 * self.max_len or self.piece_len % BASES_PER_WORD:
             raise ValueError("piece_len must be a multiple of 21 and cover one frame")
         if min(self.refine_fanout, self.salt_rows) < 1:

@@ -32,7 +32,7 @@ def change(seq, *positions):
 
 
 VARIANTS = {
-    "broadcast": AlignParams(strategy="broadcast"),
+    "default": AlignParams(),
     "shuffle": AlignParams(strategy="shuffle"),
     "sort_merge": AlignParams(strategy="shuffle", hash_bytes=1),
     "shuffle_salted": AlignParams(strategy="shuffle", salt_rows=3),
@@ -73,7 +73,7 @@ def test_best_and_unique_match_brute_force(spark):
         assert row[3:] == first
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
 def test_copies_of_a_read_get_the_same_rows(spark, strategy):
     sequences, reads = planted(3, n_reads=20)
     copied = reads + [(5000 + i, reads[8][1]) for i in range(40)]
