@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -273,6 +275,13 @@ def alignments_write_read(spark, sf_dir):
     return A.read_alignments(spark, path)
 
 
+def _more(module: str, function: str) -> dict:
+    """What the subpackage of training-data operators registers, if it is there."""
+    if importlib.util.find_spec("strandjoin.llm") is None:
+        return {}
+    return getattr(importlib.import_module(f"strandjoin.llm.{module}"), function)()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """All alignments of the reads derived from sf0.001."""
     return _align_all(spark, "/root/testdata/sf0.001")
@@ -317,8 +326,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         alignments_write_read,
     )
     named = {query.__name__: query for query in plain}
-    return {"align_all": _align_all, "align_unique": unique, **named}
+    return {"align_all": _align_all, "align_unique": unique, **named, **_more("queries", "queries")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    return {**oracle_queries.oracle_sql(), **_more("oracles", "oracle_sql")}
