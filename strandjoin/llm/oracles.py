@@ -7,6 +7,37 @@ from strandjoin.llm import url_filter
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def decontamination() -> str:
+    """Windows joined by position; every word of a document that one covers is hit."""
+    listed = (
+        r"list_filter(string_split_regex("
+        + LOWER.format("coalesce(text, '')")
+        + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    )
+    return rf"""
+    WITH i AS (SELECT item_id, {listed} AS w FROM benchmark),
+    lengths AS (SELECT DISTINCT least(len(w), 13) AS s FROM i WHERE len(w) > 0),
+    windows AS (
+      SELECT DISTINCT item_id, s, array_to_string(list_slice(w, p, p + s - 1), ' ') AS t
+      FROM (SELECT item_id, w, least(len(w), 13) AS s, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p
+            FROM i WHERE len(w) > 0)),
+    d AS (SELECT doc_id, {listed} AS w FROM documents),
+    places AS (
+      SELECT doc_id, s, p, array_to_string(list_slice(w, p, p + s - 1), ' ') AS t
+      FROM (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS p FROM d, lengths)),
+    hits AS (SELECT doc_id, item_id, p, p + windows.s AS e FROM places JOIN windows USING (s, t)),
+    covered AS (
+      SELECT doc_id, count(DISTINCT q) AS n_hit
+      FROM (SELECT doc_id, unnest(range(p, e)) AS q FROM (SELECT DISTINCT doc_id, p, e FROM hits)) GROUP BY 1),
+    items AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(listed, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def exact_dedup() -> str:
     return r"""
     WITH d AS (
@@ -41,4 +72,4 @@ def url_verdicts() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_verdicts(), "op7_exact_dedup": exact_dedup()}
+    return {"op1_decontamination": decontamination(), "op4_url_filter": url_verdicts(), "op7_exact_dedup": exact_dedup()}

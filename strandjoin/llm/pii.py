@@ -123,7 +123,7 @@ def count_contexts(docs: DataFrame, text: str, contexts: DataFrame) -> DataFrame
     """context, total: occurrences of the two words anywhere in the corpus."""
     small = contexts.count() <= BROADCAST_CONTEXTS
     pairs = docs.select(pair_keys(F.col(text)).alias("pairs"))
-    pairs = pairs.select(F.explode("pairs").alias("context"))
+    pairs = pairs.select(F.explode_outer("pairs").alias("context"))
     found = pairs.join(F.broadcast(contexts) if small else contexts, "context")
     return found.groupBy("context").agg(F.count(F.lit(1)).alias("total"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandjoin.llm import exact_dedup, packing, pii, secrets, spans, url_filter
+from strandjoin.llm import decontaminate, exact_dedup, packing, pii, secrets, spans, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,19 @@ def _digest(found: Column, kinds: tuple[str, ...]) -> Column:
     return F.sha2(spans.span_text(found, kinds), 256)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = _table(spark, sf_dir, "benchmark")
+    judged = decontaminate.contamination(_table(spark, sf_dir, "documents"), benchmark)
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +66,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_best_fit_packing, op4_url_filter, op6_personal_data, op7_exact_dedup, op10_secret_scan)
+    found = (op1_decontamination, op2_best_fit_packing, op4_url_filter, op6_personal_data, op7_exact_dedup, op10_secret_scan)
     return {query.__name__: query for query in found}

@@ -82,7 +82,7 @@ def rule_table(spark: SparkSession, path_rules=PATH_RULES, patterns=PATTERNS) ->
 def index_rules(rules: DataFrame, urls: DataFrame, small: bool) -> DataFrame:
     """Each rule under its rarest token, by the number of urls that hold the token."""
     needed = rules.select(F.explode("needs").alias("token")).distinct()
-    held = urls.select(F.explode("tokens").alias("token"))
+    held = urls.select(F.explode_outer("tokens").alias("token"))
     counts = held.join(F.broadcast(needed) if small else needed, "token").groupBy("token")
     counts = counts.agg(F.count(F.lit(1)).alias("urls"))
     wanted = rules.select("rule", F.explode_outer("needs").alias("token"))
@@ -101,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     size = rules.agg(F.sum(F.length("expression") + 64)).first()[0] or 0
     small = size <= BROADCAST_RULES
     index = index_rules(rules, urls, small)
-    probes = urls.select("page_id", "url", "host", "path", F.explode("tokens").alias("token"))
+    probes = urls.select("page_id", "url", "host", "path", F.explode_outer("tokens").alias("token"))
     candidates = probes.join(F.broadcast(index) if small else index, "token")
     subject = F.when(F.col("by_path"), F.concat("host", "path")).otherwise(ascii_lower(F.col("url")))
     fits = candidates.where(F.regexp_like(subject, F.col("expression")))
