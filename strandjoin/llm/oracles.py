@@ -71,5 +71,19 @@ def url_verdicts() -> str:
     FROM p LEFT JOIN f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.url IS NOT DISTINCT FROM f.url"""
 
 
+def fixity() -> str:
+    """Damaged records and their byte ranges in the order of ids."""
+    return """
+    WITH r AS (
+      SELECT page_id, row_number() OVER w - 1 AS place,
+        strlen('WARC/1.1' || 'WARC-Type: resource' || 'WARC-Target-URI: ' || coalesce(url, '')
+          || 'WARC-Date: 2020-01-01T00:00:00Z' || 'Content-Type: text/html' || 'Content-Length: '
+          || CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 18 + strlen(coalesce(html, '')) AS n,
+        strlen(coalesce(html, '')) > 0 AS filled
+      FROM pages WINDOW w AS (ORDER BY page_id)),
+    o AS (SELECT *, CAST(sum(n) OVER (ORDER BY place) AS BIGINT) AS e FROM r)
+    SELECT page_id, place, e - n AS "begin", e AS "end" FROM o WHERE page_id % 97 = 13"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination(), "op4_url_filter": url_verdicts(), "op7_exact_dedup": exact_dedup()}
+    return {"op1_decontamination": decontamination(), "op4_url_filter": url_verdicts(), "op7_exact_dedup": exact_dedup(), "op8_warc_fixity": fixity()}

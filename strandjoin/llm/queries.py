@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandjoin.llm import decontaminate, exact_dedup, jaccard, langid, packing, pii, secrets, spans, url_filter
+from strandjoin.llm import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    jaccard,
+    langid,
+    packing,
+    pii,
+    secrets,
+    spans,
+    url_filter,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +45,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -57,6 +73,29 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents")).drop("row")
 
 
+#: Every page whose id leaves this remainder is damaged in the second replica.
+DAMAGED = (97, 13)
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages against a replica of them in which one body in 97 has a byte changed."""
+    pages = _table(spark, sf_dir, "pages")
+    every, rest = DAMAGED
+    good = F.coalesce("html", F.lit(""))
+    damaged = F.when(F.col("page_id") % every == rest, F.concat(F.lit("?"), F.substring(good, 2, 1 << 30)))
+    trees = []
+    for body in (good, F.coalesce(damaged, good)):
+        records = pages.select(F.col("page_id").alias("id"), "url", warc.record(F.col("url"), body).alias("record"))
+        trees.append(warc.merkle_tree(warc.place_records(records, ["id", "url"])))
+    found = warc.audit(*trees)
+    return found.select(
+        F.coalesce("left_id", "right_id").alias("page_id"),
+        "place",
+        F.col("left_begin").alias("begin"),
+        F.col("left_end").alias("end"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -74,5 +113,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_decontamination, op2_best_fit_packing, op4_url_filter, op5_ngram_jaccard, op6_personal_data, op7_exact_dedup, op9_language_id, op10_secret_scan)
+    found = (
+        op1_decontamination,
+        op2_best_fit_packing,
+        op3_html_extraction,
+        op4_url_filter,
+        op5_ngram_jaccard,
+        op6_personal_data,
+        op7_exact_dedup,
+        op8_warc_fixity,
+        op9_language_id,
+        op10_secret_scan,
+    )
     return {query.__name__: query for query in found}
