@@ -279,7 +279,12 @@ def _more(module: str, function: str) -> dict:
     """What the subpackage of training-data operators registers, if it is there."""
     if importlib.util.find_spec("strandjoin.llm") is None:
         return {}
-    return getattr(importlib.import_module(f"strandjoin.llm.{module}"), function)()
+    found = dict(getattr(importlib.import_module(f"strandjoin.llm.{module}"), function)())
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        pipeline = importlib.import_module("corpus_pipeline")
+        more = {"queries": pipeline.run, "oracle_sql": pipeline.ORACLE_SQL}[function]
+        found |= {"pipeline": more} if more else {}
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
