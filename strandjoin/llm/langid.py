@@ -87,7 +87,8 @@ def chains(scores: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarra
 
     The chains are cut into segments of SEGMENT words. The product of the transfer matrices of
     a segment carries messages across it, so that all segments run side by side; messages into
-    the segments follow text by text. Exact: every chain is whole.
+    the segments follow text by text. Exact: every chain is whole. Before a text's first word
+    every label is equally likely, and a transition leads from there to the word.
     """
     n_words, n_labels = scores.shape
     if not n_words:
