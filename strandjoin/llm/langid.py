@@ -91,7 +91,7 @@ def chains(scores: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarra
     every label is equally likely, and a transition leads from there to the word.
     """
     n_words, n_labels = scores.shape
-    if not n_words:
+    if not n_words or not n_labels:
         return scores
     counts = np.diff(first)
     pieces = -(-counts // SEGMENT)
