@@ -9,7 +9,14 @@ from . import packing as P
 
 
 def _count_mismatches(a: Column, b: Column) -> Column:
-    """Mismatches of two equally long strings, compared 21 bases at a time."""
+    """Mismatches of two equally long strings; bases compare 21 at a time, others by letter."""
+    bases = a.rlike("^[ACGTN]*$") & b.rlike("^[ACGTN]*$")
+    letters = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
+    by_letter = F.aggregate(letters, F.lit(0), lambda total, n: total + n)
+    return F.when(bases, _count_base_mismatches(a, b)).otherwise(by_letter)
+
+
+def _count_base_mismatches(a: Column, b: Column) -> Column:
     words = F.zip_with(
         P.pack_array(P.to_digits(a)),
         P.pack_array(P.to_digits(b)),

@@ -128,10 +128,10 @@ def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
     def tile_digits(index: Column | int) -> Column:
         return F.substr(digits, (F.lit(index) if isinstance(index, int) else index) * s + 1, F.lit(s))
 
-    need = F.lit(0)
+    need = F.lit(0).cast("bigint")
     for earlier in range(params.n_tiles - 1):
         usable = (tile > earlier) & ~tile_digits(earlier).contains(P.N_DIGIT)
-        bit = F.call_function("shiftleft", F.lit(1), tile - 1 - earlier)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), tile - 1 - earlier)
         need = need + F.when(usable, bit).otherwise(0)
     frame = F.rpad(
         F.concat(F.repeat(F.lit(P.PAD_DIGIT), F.lit(params.left_reach) - tile * s), digits),

@@ -57,7 +57,7 @@ def is_leftmost_seed(params: AlignParams) -> Column:
     for d in range(1, params.n_tiles):
         start = params.left_reach - d * params.seed_len
         masks = P.base_masks(range(start, start + params.seed_len), params.frame_words)
-        unused = F.col("need").bitwiseAND(F.lit(1 << (d - 1))) == 0
+        unused = F.col("need").bitwiseAND(F.lit(1 << (d - 1)).cast("bigint")) == 0
         conditions.append(unused | touches(mismatches, masks))
     return all_of(conditions)
 

@@ -38,6 +38,8 @@ class AlignParams:
             raise ValueError("need 0 < min_len <= max_len")
         if not 1 <= self.seed_len <= 18:
             raise ValueError("min_len // (k + 1) must lie between 1 and 18")
+        if self.n_tiles > 64:
+            raise ValueError("max_len holds more than 64 tiles of min_len // (k + 1) bases")
         if self.redundancy < 1:
             raise ValueError("redundancy must be at least 1")
         if self.chunk_overlap < 2 * self.flank_len + self.seed_len - 1:

@@ -165,3 +165,14 @@ def test_job_writes_both_tables(spark, tmp_path):
     ]
     with pytest.raises(Exception, match="(?i)exists"):
         run_alignment(refs, reads, str(tmp_path / "out"))
+
+
+def test_k_mismatch_of_any_letters(spark):
+    from pyspark.sql import functions as F
+
+    from strandjoin.functions import edits
+
+    rows = [("acgt", "tttt", 3), ("hello", "world", 4), ("ACGTN", "ACGAN", 1), ("ACNT", "ACGT", 1), ("", "", 0)]
+    frame = spark.createDataFrame(rows, "a string, b string, want int")
+    found = frame.select("want", edits.k_mismatch(F.col("a"), F.col("b"), 10)["differences"].alias("got"))
+    assert all(r.want == r.got for r in found.collect())
