@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandjoin.llm.text_bytes import BASE, mix, slices, split_words
+from strandjoin.llm.text_bytes import BASE, is_space, mix, slices, split_words
 
 MAX_TRAIN_DOCS = 300
 MAX_TRAIN_CHARS = 8000
@@ -35,6 +35,7 @@ TABLE_BITS = 16
 STRETCH = 24
 UNKNOWN = "und"
 SEGMENT = 64
+RESCALE = 8
 HELD_OUT = 1
 FOLDS = 3
 
@@ -55,31 +56,29 @@ def fold_case(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries and words of all features, and words before each text and their number.
+def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray):
+    """Table entries of the words' features, which depend on nothing but the word itself.
 
-    Returned: gram entries per byte (two kinds), border positions of the words, entries of
-    affixes and lexicon per word, and the words before each text.
+    Returned: gram entries per byte (two kinds), borders of the words, and entries of affixes
+    and lexicon per word. Around a word there are blanks, whatever stands there in the text.
     """
-    found = split_words(texts)
-    data = fold_case(found.bytes).astype(np.uint64)
+    data = np.where(is_space(data), np.uint8(32), fold_case(data)).astype(np.uint64)
     padded = np.concatenate([data, np.full(2, 32, dtype=np.uint64)])
     two = padded[:-2] * np.uint64(257) + padded[1:-1]
-    three = two * np.uint64(257) + padded[2:]
+    three = two * np.uint64(257) + np.where(padded[1:-1] == 32, np.uint64(32), padded[2:])
     shift = np.uint64(64 - TABLE_BITS)
-    # Grams that start at the blank before a word or inside it; they may reach past its end.
+    # Grams that start inside a word; they may reach the blanks after it.
     grams = np.stack([mix(two + np.uint64(1 << 32)) >> shift, mix(three + np.uint64(2 << 32)) >> shift])
-    word = found.hashes()
     head = np.zeros(len(word), dtype=np.uint64)
     tail = np.zeros(len(word), dtype=np.uint64)
     for k in range(3):
-        head = head * np.uint64(257) + padded[np.minimum(found.start + k, found.end)]
-        tail = tail * np.uint64(257) + padded[np.maximum(found.end - 1 - k, found.start - (found.start > 0))]
+        head = head * np.uint64(257) + padded[np.minimum(start + k, end)]
+        last = np.where(end - 1 - k >= start, padded[np.maximum(end - 1 - k, 0)], np.uint64(32))
+        tail = tail * np.uint64(257) + last
     own = np.stack(
         [mix(head + np.uint64(3 << 32)) >> shift, mix(tail + np.uint64(4 << 32)) >> shift, mix(word * BASE) >> shift]
     )
-    borders = np.stack([found.start, found.end])
-    return grams.astype(np.int32), borders, own.astype(np.int32), found.first
+    return grams.astype(np.int32), np.stack([start, end]), own.astype(np.int32)
 
 
 def chains(scores: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -100,42 +99,50 @@ def chains(scores: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarra
     nth = np.arange(total) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = first[owner] + nth * SEGMENT
     size = np.minimum(SEGMENT, first[owner + 1] - begin)
+    # Longest segments first, so that those still running are always the leading ones.
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    running = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     m = np.exp(move - move.max())
     # Transfer matrices: row is the label before the segment, column the label at its end.
     carry = np.broadcast_to(np.eye(n_labels), (total, n_labels, n_labels)).copy()
-    for k in range(int(size.max())):
-        on = np.flatnonzero(size > k)
-        step = (carry[on] @ m) * e[begin[on] + k][:, None, :]
-        carry[on] = step / step.sum(axis=(1, 2), keepdims=True)
+    for k, on in enumerate(running):
+        step = (carry[:on].reshape(-1, n_labels) @ m).reshape(on, n_labels, n_labels)
+        np.multiply(step, e[begin[:on] + k][:, None, :], out=carry[:on])
+        if k % RESCALE == RESCALE - 1:
+            carry[:on] /= carry[:on].sum(axis=(1, 2), keepdims=True)
+    carry /= carry.sum(axis=(1, 2), keepdims=True)
+    carry = carry[np.argsort(order)]
     into = np.full((total, n_labels), 1.0 / n_labels)
     back = np.full((total, n_labels), 1.0 / n_labels)
     last = np.zeros(total, dtype=bool)
     last[np.cumsum(pieces)[pieces > 0] - 1] = True
-    for k in range(1, int(pieces.max())):
-        at = np.flatnonzero(nth == k)
+    by_place = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[by_place], np.arange(int(pieces.max()) + 1))
+    at_place = [by_place[a:b] for a, b in zip(cuts, cuts[1:])]
+    for at in at_place[1:]:
         message = (into[at - 1][:, None, :] @ carry[at - 1])[:, 0, :]
         into[at] = message / message.sum(axis=1, keepdims=True)
-    for k in range(int(pieces.max()) - 2, -1, -1):
-        at = np.flatnonzero((nth == k) & ~last)
+    for at in at_place[-2::-1]:
+        at = at[~last[at]]
         message = (carry[at + 1] @ back[at + 1][:, :, None])[:, :, 0]
         back[at] = message / message.sum(axis=1, keepdims=True)
     forward = np.empty_like(e)
-    state = into
-    for k in range(int(size.max())):
-        on = np.flatnonzero(size > k)
-        step = (state[on] @ m) * e[begin[on] + k]
-        state[on] = step / step.sum(axis=1, keepdims=True)
-        forward[begin[on] + k] = state[on]
+    state = into[order]
+    for k, on in enumerate(running):
+        step = (state[:on] @ m) * e[begin[:on] + k]
+        step /= step.sum(axis=1, keepdims=True)
+        state[:on] = step
+        forward[begin[:on] + k] = step
     out = np.empty_like(e)
-    state = back
-    for k in range(int(size.max()) - 1, -1, -1):
-        on = np.flatnonzero(size > k)
-        both = forward[begin[on] + k] * state[on]
-        out[begin[on] + k] = both / both.sum(axis=1, keepdims=True)
-        step = (state[on] * e[begin[on] + k]) @ m.T
-        state[on] = step / step.sum(axis=1, keepdims=True)
-    return out
+    state = back[order]
+    for k in range(len(running) - 1, -1, -1):
+        on = running[k]
+        out[begin[:on] + k] = forward[begin[:on] + k] * state[:on]
+        step = (state[:on] * e[begin[:on] + k]) @ m.T
+        state[:on] = step / step.sum(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True)
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 2, rate: float = 0.3) -> Model:
@@ -146,7 +153,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 2, rate
     move = np.zeros((n_labels, n_labels))
     if n_labels < 2:
         return Model(labels, emit, move)
-    grams, borders, own, first = features(pa.array(texts, pa.string()))
+    found = split_words(pa.array(texts, pa.string()))
+    first = found.first
+    grams, borders, own = word_features(found.bytes, found.start, found.end, found.hashes())
     label = np.searchsorted(labels, langs)
     word_label = np.repeat(label, np.diff(first))
     starts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(first, first[1:])] or [[]]).astype(int)
@@ -202,9 +211,33 @@ def word_emissions(model: Model, grams, borders, own) -> np.ndarray:
 
 
 def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each language for each word, and the words before each text."""
-    grams, borders, own, first = features(texts)
-    return chains(word_emissions(model, grams, borders, own), model.move, first), first
+    """Probability of each language for each word, and the words before each text.
+
+    A word's features are its own, so they are weighed once for all its occurrences.
+    """
+    found = split_words(texts)
+    word, at, back = np.unique(found.hashes(), return_index=True, return_inverse=True)
+    start, end = found.start[at], found.end[at]
+    size = end - start + 1  # with the blank after it
+    stop = np.cumsum(size)
+    data = found.bytes[np.arange(size.sum()) + np.repeat(start - stop + size, size)]
+    once = word_emissions(model, *word_features(data, stop - size, stop - 1, word))
+    return chains(once[back], model.move, found.first), found.first
+
+
+def label_texts(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language of each text and its share of the words' probability."""
+    share, first = label_words(model, texts)
+    sums = np.zeros((share.shape[0] + 1, share.shape[1]))
+    np.cumsum(share, axis=0, out=sums[1:])
+    mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))[:, None]
+    langs, scores = [], []
+    for i, value in enumerate(texts):
+        known = len(model.labels) > 0 and has_letter(value.as_py()) and first[i + 1] > first[i]
+        best = int(mean[i].argmax()) if known else -1
+        langs.append(model.labels[best] if known else UNKNOWN)
+        scores.append(float(min(1.0, mean[i][best])) if known else 0.0)
+    return langs, scores
 
 
 def has_letter(text: str | None) -> bool:
@@ -217,17 +250,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                texts = part.column(1)
-                share, first = label_words(model, texts)
-                sums = np.zeros((share.shape[0] + 1, share.shape[1]))
-                np.cumsum(share, axis=0, out=sums[1:])
-                mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))[:, None]
-                langs, scores = [], []
-                for i, value in enumerate(texts):
-                    known = len(model.labels) > 0 and has_letter(value.as_py()) and first[i + 1] > first[i]
-                    best = int(mean[i].argmax()) if known else -1
-                    langs.append(model.labels[best] if known else UNKNOWN)
-                    scores.append(float(min(1.0, mean[i][best])) if known else 0.0)
+                langs, scores = label_texts(model, part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                     names=["doc_id", "lang_pred", "score"],
@@ -277,10 +300,8 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, names.index(text)):
-                texts = part.column(names.index(text))
-                share, first = label_words(model, texts)
-                found = np.diff(first) > 0
-                kept = [bool(f) and share.shape[1] > 0 and has_letter(v.as_py()) for f, v in zip(found, texts)]
+                langs, _ = label_texts(model, part.column(names.index(text)))
+                kept = [found != UNKNOWN for found in langs]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
