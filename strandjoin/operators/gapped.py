@@ -93,9 +93,12 @@ def gapped_candidates(
     joined = join_packed_seeds(places, probed, params, stats, refine=False)
     around = P.unpack_frame([F.col(f"c{i}") for i in range(words)])
     found = joined.select("*", computed_once(around).alias("around"))
+    start = F.col("tile") * s
+    if params.key_len < s:
+        clean = F.substring("around", flank + 1, s) == F.substr("digits", start + 1, F.lit(s))
+        found = found.where(clean)
     if prune:
         found = found.where(may_align(params))
-    start = F.col("tile") * s
     left = F.substring("around", 1, flank)
     right = F.substring("around", flank + s + 1, flank)
     return found.select(

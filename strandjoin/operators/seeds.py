@@ -22,7 +22,7 @@ def packed_reference_seeds(
 
     c0.. hold the frame of the position, that is all bases a read could cover whichever of
     its tiles sits on the seed, or with ``full_flanks`` the seed and ``flank_len`` bases on
-    either side. Sequence -> pieces -> 21-base words -> positions: text is packed once per word,
+    either side. seed is the first ``key_len`` bases of a tile at the position. Sequence -> pieces -> 21-base words -> positions: text is packed once per word,
     and a position costs a few shifts of neighbouring words.
     """
     if full_flanks:
@@ -76,9 +76,9 @@ def packed_reference_seeds(
     )
     frame = P.shift_words([F.col(f"w{i}") for i in range(words_after + 1)], F.col("shift"))
     local = F.col("start") + F.col("shift")
-    seed = P.slice_value(frame, left, params.seed_len)
+    seed = P.slice_value(frame, left, params.key_len)
     # N and padding are the digits with the high bit, so one test drops both.
-    no_base = int(P.N_DIGIT * params.seed_len, 8)
+    no_base = int(P.N_DIGIT * params.key_len, 8)
     return places.where(
         (local >= F.col("first"))
         & (local < F.col("end"))
@@ -145,7 +145,7 @@ def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
         "tile",
         "read_len",
         "digits",
-        F.conv(seed_digits, 8, 10).cast("bigint").alias("seed"),
+        F.conv(F.substring(seed_digits, 1, params.key_len), 8, 10).cast("bigint").alias("seed"),
         need.alias("need"),
         *[w.alias(f"f{i}") for i, w in enumerate(P.pack_frame(frame, params.frame_words))],
     )

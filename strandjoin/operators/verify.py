@@ -46,6 +46,13 @@ def touches(mismatches: list[Column], masks: list[int]) -> Column:
     return any_of([m.bitwiseAND(F.lit(k)) != 0 for m, k in zip(mismatches, masks) if k])
 
 
+def is_clean_tile(params: AlignParams) -> Column:
+    """No mismatch in the tile itself; the join has compared its first ``key_len`` bases."""
+    end = params.left_reach + params.seed_len
+    masks = P.base_masks(range(params.left_reach + params.key_len, end), params.frame_words)
+    return ~touches(frame_columns("m", params), masks)
+
+
 def is_leftmost_seed(params: AlignParams) -> Column:
     """No earlier tile would have found the same place.
 
@@ -115,6 +122,8 @@ def within_k(candidates: DataFrame, params: AlignParams) -> DataFrame:
     for the JVM to compile it.
     """
     close = candidates.where((count_differences(params) <= params.k) & inside_sequence(params))
+    if params.key_len < params.seed_len:
+        close = close.where(is_clean_tile(params))
     marks = [f"m{i}" for i in range(params.frame_words)]
     others = [c for c in close.columns if c not in marks]
     kept = close.select(*others, F.inline(F.array(F.struct(*marks))))

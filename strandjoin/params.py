@@ -36,8 +36,8 @@ class AlignParams:
             raise ValueError("k must not be negative")
         if not 0 < self.min_len <= self.max_len:
             raise ValueError("need 0 < min_len <= max_len")
-        if not 1 <= self.seed_len <= 18:
-            raise ValueError("min_len // (k + 1) must lie between 1 and 18")
+        if self.seed_len < 1:
+            raise ValueError("min_len must exceed k")
         if self.n_tiles > 64:
             raise ValueError("max_len holds more than 64 tiles of min_len // (k + 1) bases")
         if self.redundancy < 1:
@@ -58,6 +58,11 @@ class AlignParams:
         """Tile length: k differences cannot touch all of k + 1 tiles."""
         return self.min_len // (self.k + 1)
 
+    @property
+    def key_len(self) -> int:
+        """Leading bases of a tile that the join compares; one BIGINT holds them."""
+        return min(self.seed_len, 18)
+
     @property
     def flank_len(self) -> int:
         return self.max_len - self.seed_len + self.k

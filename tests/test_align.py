@@ -44,6 +44,10 @@ VARIANTS = {
     "exact": AlignParams(k=0, min_len=18, max_len=18),
     "mixed_lengths": AlignParams(min_len=30, max_len=50),
     "mixed_lengths_refined": AlignParams(min_len=30, max_len=50, refine_fanout=1),
+    "exact_36": AlignParams(k=0),
+    "tiles_of_19": AlignParams(k=1, min_len=38, max_len=40),
+    "tiles_of_19_refined": AlignParams(k=1, min_len=38, max_len=38, refine_fanout=1),
+    "tiles_of_37_shuffled": AlignParams(k=3, min_len=150, max_len=150, strategy="shuffle"),
     "long_reads": AlignParams(k=6, min_len=100, max_len=110),
 }
 
