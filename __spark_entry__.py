@@ -59,6 +59,21 @@ def assert_read_length(spark, sf_dir):
     return sequences.assert_read_length(items, lengths)
 
 
+def _align_with(spark, sf_dir, params):
+    reads = fixtures.reads(spark, sf_dir, params)
+    return align(fixtures.reference(spark, sf_dir), reads, params)
+
+
+def align_exact(spark, sf_dir):
+    """No difference allowed: one tile of 36 bases."""
+    return _align_with(spark, sf_dir, AlignParams(k=0))
+
+
+def align_long_reads(spark, sf_dir):
+    """Reads of 76 bases, whose tiles are longer than the key of the join."""
+    return _align_with(spark, sf_dir, AlignParams(min_len=76, max_len=76))
+
+
 def filter_ambiguous_reads(spark, sf_dir):
     return sequences.filter_ambiguous_reads(fixtures.reads(spark, sf_dir), PARAMS)
 
@@ -329,6 +344,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         alignments_packed,
         alignments_packed_roundtrip,
         alignments_write_read,
+        align_exact,
+        align_long_reads,
     )
     named = {query.__name__: query for query in plain}
     return {"align_all": _align_all, "align_unique": unique, **named, **_more("queries", "queries")}

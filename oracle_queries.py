@@ -14,12 +14,18 @@ def _rc(x: str) -> str:
 
 _REF = f"""
 ref AS (SELECT * FROM (SELECT doc_id AS seq_id, {_BASES} AS seq FROM documents)
-        WHERE length(seq) >= 36)"""
+        WHERE seq IS NOT NULL)"""
 
-_READS = f"""
+
+def _reads(n: int) -> str:
+    return f"""
 items AS (SELECT item_id, {_BASES} AS seq FROM benchmark),
-reads AS (SELECT item_id * 100 + t AS read_id, substr(seq, CAST(t * 36 + 1 AS BIGINT), 36) AS seq
-          FROM items, unnest(range(0, length(seq) // 36)) u(t))"""
+reads AS (SELECT item_id * 1048576 + t AS read_id,
+                 substr(seq, CAST(least(t * {n}, length(seq) - {n}) + 1 AS BIGINT), {n}) AS seq
+          FROM items, unnest(range(0, (length(seq) + {n - 1}) // {n})) u(t) WHERE length(seq) >= {n})"""
+
+
+_READS = _reads(36)
 
 _STRANDS = f"""
 usable AS (SELECT * FROM reads WHERE length(seq) - length(replace(seq, 'N', '')) <= 3),
@@ -53,6 +59,28 @@ places AS (SELECT DISTINCT read_id, ref_id, p AS ref_start, p + 36 AS ref_end, d
            FROM tile_hits),
 hits AS (SELECT read_id, ref_id, ref_start, ref_end, differences, is_rc FROM places)"""
 
+
+
+def _long_hits(k: int, n: int) -> str:
+    """All places of reads of n bases within k substitutions, through any clean tile."""
+    s = n // (k + 1)
+    tile = lambda of, j: f"substr({of}, {s * j + 1}, {s})"
+    found = " UNION ".join(
+        f"""SELECT read_id, ref_id, p AS ref_start, p + {n} AS ref_end,
+                   CAST(hamming(q, w) AS INTEGER) AS differences, is_rc
+            FROM strands JOIN windows ON {tile('q', j)} = {tile('w', j)}
+            WHERE NOT contains({tile('q', j)}, 'N') AND hamming(q, w) <= {k}"""
+        for j in range(n // s)
+    )
+    return f"""WITH {_REF},{_reads(n)},
+usable AS (SELECT * FROM reads WHERE length(seq) - length(replace(seq, 'N', '')) <= {k}),
+strands AS (SELECT read_id, false AS is_rc, seq AS q FROM usable
+            UNION ALL SELECT read_id, true, {_rc('seq')} FROM usable),
+windows AS (SELECT seq_id AS ref_id, p, substr(seq, CAST(p + 1 AS BIGINT), {n}) AS w
+            FROM ref, unnest(range(0, length(seq) - {n - 1})) u(p))
+{found}"""
+
+
 _LEVELS = f"""{_HITS},
 ranked AS (SELECT *, min(differences) OVER (PARTITION BY read_id) AS least FROM hits),
 best AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS n_best,
@@ -86,6 +114,8 @@ _ALL_HITS = f"WITH {_HITS} SELECT {_HIT_COLUMNS} FROM hits"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "align_exact": _long_hits(0, 36),
+        "align_long_reads": _long_hits(3, 76),
         "normalize_bases": """
             SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),
                                           '[^ACGT]', 'N', 'g') AS seq FROM documents""",

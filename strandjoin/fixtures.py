@@ -11,6 +11,8 @@ from .params import AlignParams
 # The letter each letter of the alphabet stands for.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAN"
+# Low bits of a read id that number the reads of one item.
+TILE_BITS = 20
 
 
 def bases(text: Column) -> Column:
@@ -28,8 +30,8 @@ def spread(spark: SparkSession, scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(4 * cores, key)
 
 
-def reference(spark: SparkSession, sf_dir: str, params: AlignParams = AlignParams()) -> DataFrame:
-    """(seq_id, offset, is_last, seq) from ``documents``."""
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, offset, is_last, seq) from every text of ``documents``, short ones too."""
     scan = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return (
         spread(spark, scan, "doc_id")
@@ -39,7 +41,7 @@ def reference(spark: SparkSession, sf_dir: str, params: AlignParams = AlignParam
             F.lit(True).alias("is_last"),
             computed_once(bases(F.col("text"))).alias("seq"),
         )
-        .where(F.length("seq") >= params.min_len)
+        .where("seq IS NOT NULL")
     )
 
 
@@ -51,15 +53,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str, params: AlignParams = AlignParams()) -> DataFrame:
-    """(read_id, seq): consecutive tiles of ``benchmark``."""
+    """(read_id, seq): consecutive tiles of ``benchmark``; the last one ends where the text ends.
+
+    A text shorter than one read gives none. Ids hold the item above the 20 bits of the tile.
+    """
     n = params.max_len
     whole = items(spark, sf_dir).where(F.length("seq") >= n)
     tiles = whole.select(
         "item_id",
         "seq",
-        F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / n).cast("int") - 1)).alias("tile"),
+        F.explode(F.sequence(F.lit(0), F.ceil(F.length("seq") / n).cast("int") - 1)).alias("tile"),
     )
     return tiles.select(
-        (F.col("item_id") * 100 + F.col("tile")).alias("read_id"),
-        F.substr("seq", F.col("tile") * n + 1, F.lit(n)).alias("seq"),
+        (F.col("item_id") * (1 << TILE_BITS) + F.col("tile")).alias("read_id"),
+        F.substr("seq", F.least(F.col("tile") * n, F.length("seq") - n) + 1, F.lit(n)).alias("seq"),
     )

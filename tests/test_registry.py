@@ -39,7 +39,7 @@ def test_query_equals_oracle(spark, tables, name):
 
 
 def test_entry(spark):
-    assert registry.entry(spark).count() == 15
+    assert registry.entry(spark).count() == 18
 
 
 def plan_of(df):
