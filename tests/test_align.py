@@ -197,6 +197,7 @@ def test_mismatch_positions(spark):
     [
         AlignParams(allow_differences=True),
         AlignParams(allow_differences=True, strategy="shuffle", salt_rows=3),
+        AlignParams(k=1, min_len=40, max_len=40, allow_differences=True),
         AlignParams(allow_differences=True, k=1, min_len=30, max_len=40),
     ],
 )
