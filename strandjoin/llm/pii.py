@@ -12,6 +12,10 @@ tokens they stand before; those spans join the base spans, with the kind of most
 context's seeds. The graph holds one edge for each context and token, counted before any
 shuffle, so a token in a third of the rows is one row of each task.
 
+The words before a token are some of all occurrences of the two words, so counting only those
+gives a confidence that is never too low. The rounds first run with it, on the graph alone; a
+context that does not pass there cannot pass, and only the others are counted over the corpus.
+
 DataFrame functions only. Defined results: null text is empty; repeated rows and ids give a row
 each; an empty table gives none.
 """
@@ -36,10 +40,11 @@ IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})\.){3}0*+(?:25
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: A token with a digit, and what is trimmed off its ends.
+#: A token with a digit, and the two whole words before it; words that fill more characters than
+#: the tail are no context.
 TOKEN = r"[^\s]*[0-9][^\s]*"
 CONTEXT_TAIL = 96
-CONTEXT = r"([^\s0-9]+)\s+([^\s0-9]+)\s*$"
+CONTEXT = r"\s([^\s0-9]+)\s+([^\s0-9]+)\s*$"
 
 MIN_VALUES = 3
 CONFIDENCE = 0.6
@@ -88,7 +93,7 @@ def mentions(text: Column, base: Column) -> Column:
     """
 
     def row(m: Column) -> Column:
-        tail = F.substring(m["before"], -CONTEXT_TAIL, CONTEXT_TAIL)
+        tail = F.substring(F.concat(F.lit(" "), m["before"]), -CONTEXT_TAIL, CONTEXT_TAIL)
         lead = F.length(F.regexp_extract(m["value"], r"^[\"'(\[{<]*", 0))
         trail = F.length(F.regexp_extract(m["value"], r"[.,;:!?\"')\]}>]*$", 0))
         start, end = m["start"] + lead, m["end"] - trail
@@ -141,23 +146,13 @@ def score_contexts(edges: DataFrame, known: DataFrame, totals: DataFrame, confid
     return scored.where(F.col("confidence") >= confidence)
 
 
-def learn_contexts(
-    docs: DataFrame,
-    text: str,
-    edges: DataFrame,
-    rounds: int = ROUNDS,
-    confidence: float = CONFIDENCE,
-    min_values: int = MIN_VALUES,
-) -> DataFrame:
-    """Contexts of high confidence after so many rounds. edges: context, value, n, kind."""
-    supported = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_values)
-    contexts = stage(supported.select("context"), "contexts")
-    edges = stage(edges.join(contexts, "context"), "edges")
-    totals = stage(count_contexts(docs, text, contexts), "totals")
+def bootstrap(edges: DataFrame, totals: DataFrame, rounds: int, confidence: float, min_values: int, name: str) -> DataFrame:
+    """The contexts that pass after so many rounds. edges: context, value, n, kind."""
     seeds = edges.where(F.col("kind").isNotNull()).groupBy("value").agg(F.min("kind").alias("kind"))
     known, passed = seeds, None
     for turn in range(rounds):
-        passed = stage(score_contexts(edges.drop("kind"), known, totals, confidence, min_values), f"passed-{turn}")
+        scores = score_contexts(edges.drop("kind"), known, totals, confidence, min_values)
+        passed = stage(scores, f"{name}-{turn}")
         if turn == rounds - 1 or passed.isEmpty():
             break
         unseen = edges.drop("kind").join(seeds.select("value"), "value", "left_anti")
@@ -170,6 +165,28 @@ def learn_contexts(
     return passed
 
 
+def learn_contexts(
+    docs: DataFrame,
+    text: str,
+    edges: DataFrame,
+    rounds: int = ROUNDS,
+    confidence: float = CONFIDENCE,
+    min_values: int = MIN_VALUES,
+) -> DataFrame:
+    """Contexts of high confidence after so many rounds. edges: context, value, n, kind.
+
+    More known tokens and higher confidences only let more contexts pass, so the contexts that
+    pass with the counts of the graph hold all that pass with the counts of the corpus.
+    """
+    counted = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("total"))
+    counted = stage(counted.where(F.col("n_values") >= min_values).drop("n_values"), "contexts")
+    edges = stage(edges.join(counted.select("context"), "context"), "edges")
+    possible = bootstrap(edges, counted, rounds, confidence, min_values, "possible").select("context")
+    edges = edges.join(possible, "context", "left_semi")
+    totals = stage(count_contexts(docs, text, possible), "totals")
+    return bootstrap(edges, totals, rounds, confidence, min_values, "passed")
+
+
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: doc_id, base and spans, arrays of (kind, start, end) by kind, then start."""
     read = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
