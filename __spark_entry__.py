@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries  # noqa: E402
-from strandjoin import AlignParams, align, align_best, align_unique, fixtures  # noqa: E402
+from strandjoin import AlignParams, align, align_best, align_unique, fixtures, run_alignment  # noqa: E402
 from strandjoin.functions import bases as B  # noqa: E402
 from strandjoin.functions import edits as E  # noqa: E402
 from strandjoin.functions.packing import unpack_seed  # noqa: E402
@@ -275,6 +275,13 @@ def packed_roundtrip(spark, sf_dir):
     return S.decode_packed(S.encode_packed(fixtures.reference(spark, sf_dir)))
 
 
+def packed_files_roundtrip(spark, sf_dir):
+    """Written as old sequence files and imported again."""
+    path = scratch_path(spark, "packed")
+    S.write_packed_files(S.encode_packed(fixtures.reference(spark, sf_dir)), path)
+    return S.decode_packed(S.read_packed_files(spark, path))
+
+
 def alignments_packed(spark, sf_dir):
     packed = A.alignments_to_packed(_align_all(spark, sf_dir))
     return packed.select(F.col("id").cast("bigint").alias("read_id"), F.hex("value").alias("value"))
@@ -290,6 +297,23 @@ def alignments_write_read(spark, sf_dir):
     return A.read_alignments(spark, path)
 
 
+def complete_job(spark, sf_dir):
+    """The rows of both tables as the job wrote them, with the number it reports for each."""
+    path = scratch_path(spark, "job")
+    summary = run_alignment(*_inputs(spark, sf_dir), path)
+    tables = (
+        ("alignments", f"{path}-alignments", summary.alignments),
+        ("unambiguous", path, summary.unambiguous),
+    )
+    every, ranked = (
+        A.read_alignments(spark, where).select(
+            F.lit(name).alias("kind"), "*", F.lit(n).cast("bigint").alias("written")
+        )
+        for name, where, n in tables
+    )
+    return every.unionByName(ranked)
+
+
 def _more(module: str, function: str) -> dict:
     """What the subpackage of training-data operators registers, if it is there."""
     if importlib.util.find_spec("strandjoin.llm") is None:
@@ -341,9 +365,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         alignments_text_roundtrip,
         encode_packed,
         packed_roundtrip,
+        packed_files_roundtrip,
         alignments_packed,
         alignments_packed_roundtrip,
         alignments_write_read,
+        complete_job,
         align_exact,
         align_long_reads,
     )

@@ -248,6 +248,8 @@ def oracle_sql() -> dict[str, str]:
                    || CASE WHEN length(seq) % 2 = 1 THEN 'F' ELSE '' END AS value FROM ref""",
         "packed_roundtrip": f"""
             WITH {_REF} SELECT seq_id, CAST(0 AS BIGINT) AS "offset", true AS is_last, seq FROM ref""",
+        "packed_files_roundtrip": f"""
+            WITH {_REF} SELECT seq_id, CAST(0 AS BIGINT) AS "offset", true AS is_last, seq FROM ref""",
         "alignments_packed": f"""
             WITH {_HITS} SELECT read_id, CASE WHEN is_rc THEN '01' ELSE '00' END
                    || lpad(upper(to_hex(ref_id)), 8, '0') || lpad(upper(to_hex(ref_start)), 8, '0')
@@ -255,4 +257,9 @@ def oracle_sql() -> dict[str, str]:
                    AS value FROM hits""",
         "alignments_packed_roundtrip": _ALL_HITS,
         "alignments_write_read": _ALL_HITS,
+        "complete_job": f"""
+            WITH {_LEVELS}
+            SELECT 'alignments' AS kind, {_HIT_COLUMNS}, count(*) OVER () AS written FROM hits
+            UNION ALL
+            SELECT 'unambiguous', {_HIT_COLUMNS}, count(*) OVER () FROM best WHERE n_best = 1""",
     }

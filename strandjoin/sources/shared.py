@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder for local sessions of this process, which is deleted at its end."""
+    folder = tempfile.mkdtemp(prefix="strandjoin-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares, or in a local one where none is named."""
+    """A new path in the folder that spark.checkpoint.dir names.
+
+    Only a session whose tasks run in the driver's process may leave the folder unset.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="strandjoin-")
+        folder = _own_folder()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
