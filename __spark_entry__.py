@@ -253,9 +253,19 @@ def align_all_gapped(spark, sf_dir):
 
 
 def gapped_edits(spark, sf_dir):
+    """The read rebuilt from its place and its edits, their number and what they add in length."""
     found = align(*_inputs(spark, sf_dir), AlignParams(allow_differences=True), edits=True)
-    text = F.transform("edits", lambda e: F.concat(e["pos"].cast("string"), F.lit(":"), e["op"]))
-    return found.withColumn("edits", F.array_join(text, ","))
+    of_kind = lambda op: F.size(F.filter("edits", lambda e: e["op"] == op))
+    return found.select(
+        "read_id",
+        "ref_id",
+        "ref_start",
+        "ref_end",
+        "is_rc",
+        F.size("edits").alias("n_edits"),
+        (of_kind("reference_base") - of_kind("read_base")).alias("longer_by"),
+        E.replay_edits(F.col("ref_text"), F.col("read_text"), F.col("edits")).alias("seq"),
+    )
 
 
 def alignments_text(spark, sf_dir):

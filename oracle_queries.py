@@ -99,7 +99,7 @@ def _extension(text: str, pattern: str) -> str:
 
 _FLANKED = f"""{_REF},{_READS},{_STRANDS},{_TILES},{_SEEDS},
 flanked AS (
-  SELECT read_id, is_rc, ref_id, s.pos AS pos, t.pos AS tile_start,
+  SELECT read_id, is_rc, ref_id, s.pos AS pos, t.pos AS tile_start, seed,
     reverse(substr(seq, CAST(greatest(s.pos - 30, 0) + 1 AS BIGINT), CAST(least(s.pos, 30) AS BIGINT))) AS tl,
     substr(seq, CAST(s.pos + 10 AS BIGINT), 30) AS tr,
     reverse(substr(q, 1, CAST(t.pos AS BIGINT))) AS ql, substr(q, CAST(t.pos + 10 AS BIGINT)) AS qr
@@ -237,6 +237,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT read_id, ref_id, pos - l.j AS ref_start, pos + 9 + r.j AS ref_end,
                    CAST(min(l.d + r.d) AS INTEGER) AS differences, is_rc
             FROM extended WHERE l.d + r.d <= 3 GROUP BY ALL""",
+        "gapped_edits": f"""
+            WITH {_FLANKED},
+            found AS (SELECT DISTINCT read_id, ref_id, pos - l.j AS ref_start, pos + 9 + r.j AS ref_end, is_rc,
+                             reverse(substr(tl, 1, l.j)) || seed || substr(tr, 1, r.j) AS piece,
+                             reverse(ql) || seed || qr AS seq
+                      FROM extended WHERE l.d + r.d <= 3)
+            SELECT read_id, ref_id, ref_start, ref_end, is_rc, CAST(levenshtein(piece, seq) AS INTEGER) AS n_edits,
+                   CAST(length(piece) - length(seq) AS INTEGER) AS longer_by, seq
+            FROM found""",
         "alignments_text": f"""
             WITH {_HITS}
             SELECT concat_ws(chr(9), ref_id, ref_start, ref_end, read_id, differences,

@@ -67,3 +67,22 @@ def edit_runs(positions: Column, length: Column) -> Column:
     before = F.concat(F.array(F.lit(0)), positions)
     after = F.concat(positions, F.array(length))
     return F.zip_with(before, after, lambda a, b: b - a)
+
+
+def replay_edits(ref_text: Column, read_text: Column, edits: Column) -> Column:
+    """The read as its edits make it: edited bases are the read's, all others the reference's."""
+
+    def shift(p: Column) -> Column:
+        more = F.filter(edits, lambda e: (e["op"] == "reference_base") & (e["pos"] <= p))
+        less = F.filter(edits, lambda e: (e["op"] == "read_base") & (e["pos"] < p))
+        return F.size(more) - F.size(less)
+
+    def base(p: Column) -> Column:
+        edited = F.exists(edits, lambda e: (e["op"] != "reference_base") & (e["pos"] == p))
+        one = F.lit(1)
+        return F.when(edited, F.substr(read_text, p + 1, one)).otherwise(
+            F.substr(ref_text, p + shift(p) + 1, one)
+        )
+
+    places = F.sequence(F.lit(0), F.length(read_text) - 1)
+    return F.array_join(F.transform(places, base), "")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from .sequences import computed_once
 from .verify import any_of
 
 TRACE_TYPE = "array<struct<pos: int, op: string>>"
+OPERATIONS = ("mismatch", "reference_base", "read_base")
+#: Cells of the cost tables that a task holds at once, of four bytes each.
+TRACE_CELLS = 4_000_000
 
 
 def _probe_size(params: AlignParams) -> int:
@@ -164,59 +168,72 @@ def gapped_substring_join(
     return trace_edits(best.select(*columns, "ref_text", "read_text"))
 
 
-def edit_tracer() -> Callable[[str, str], list[tuple[int, str]]]:
-    """A function of (reference text, read text) that lists one least-cost set of edits.
+def edit_tracer() -> Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function of reference and read texts that finds one least-cost set of edits for each.
 
-    Positions count read bases. The function is nested so that it is shipped to the workers by
-    value and the package need not be installed there.
+    It returns two tables of (row, step): the read position and the index in OPERATIONS, -1
+    where a step is no edit. All rows of a batch take each step of the table together. The
+    function is nested so that it is shipped to the workers by value and the package need not
+    be installed there.
     """
 
-    def trace(text: str, pattern: str) -> list[tuple[int, str]]:
-        width = len(text) + 1
-        cost = [list(range(width))]
-        for i, base in enumerate(pattern, 1):
-            row, above = [i], cost[-1]
-            for j in range(1, width):
-                row.append(
-                    min(above[j - 1] + (base != text[j - 1]), row[j - 1] + 1, above[j] + 1)
-                )
-            cost.append(row)
-        i, j, found = len(pattern), len(text), []
-        while i or j:
-            here = cost[i][j]
-            if i and j and here == cost[i - 1][j - 1] + (pattern[i - 1] != text[j - 1]):
-                i, j = i - 1, j - 1
-                if pattern[i] != text[j]:
-                    found.append((i, "mismatch"))
-            elif j and here == cost[i][j - 1] + 1:
-                j -= 1
-                found.append((i, "reference_base"))
-            else:
-                i -= 1
-                found.append((i, "read_base"))
-        return found[::-1]
+    def letters(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(v) for v in values])
+        width = max(1, lengths.max(initial=0))
+        return np.array(values, dtype=f"U{width}").view(np.uint32).reshape(len(values), width), lengths
+
+    def trace(texts: list[str], patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        (text, n), (pattern, m) = letters(texts), letters(patterns)
+        steps = np.arange(text.shape[1] + 1, dtype=np.int32)[:, None]
+        cost = np.empty((pattern.shape[1] + 1, len(steps), len(texts)), dtype=np.int32)
+        cost[0] = steps
+        for i in range(1, len(cost)):
+            above, row = cost[i - 1], cost[i]
+            row[0] = i
+            differ = text.T != pattern[:, i - 1]
+            np.minimum(above[:-1] + differ, above[1:] + 1, out=row[1:])
+            # A run of reference bases costs one each: the least start of such a run wins.
+            row[:] = np.minimum.accumulate(row - steps, axis=0) + steps
+        at, i, j = np.arange(len(texts)), m.copy(), n.copy()
+        places, operations = [], []
+        while ((i > 0) | (j > 0)).any():
+            here, up, back = cost[i, j, at], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+            differ = pattern[at, up] != text[at, back]
+            both = (i > 0) & (j > 0) & (here == cost[up, back, at] + differ)
+            from_text = ~both & (j > 0) & (here == cost[i, back, at] + 1)
+            from_pattern = ~both & ~from_text & (i > 0)
+            i, j = i - (both | from_pattern), j - (both | from_text)
+            places.append(i)
+            operations.append(np.select([both & differ, from_text, from_pattern], [0, 1, 2], -1))
+        shape = (len(places), len(texts))
+        return (np.array(x, dtype=np.int32).reshape(shape).T[:, ::-1] for x in (places, operations))
 
     return trace
 
 
 def trace_edits(alignments: DataFrame) -> DataFrame:
-    """Replace ref_text and read_text by ``edits``, the list of (pos, op).
+    """Add ``edits``, the list of (pos, op) that lead from ref_text to read_text.
 
     Built-in functions give distances but no path, so this step runs in Python, in Arrow batches
-    and on verified alignments only.
+    and on verified alignments only. Positions count read bases.
     """
-    kept = [c for c in alignments.columns if c not in ("ref_text", "read_text")]
-    trace = edit_tracer()
+    trace, operation_names, cells = edit_tracer(), list(OPERATIONS), TRACE_CELLS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("op", pa.string())]))
         for batch in batches:
-            traces = [
-                [{"pos": p, "op": op} for p, op in trace(t, q)]
-                for t, q in zip(batch["ref_text"], batch["read_text"])
-            ]
-            yield batch[kept].assign(edits=traces)
-
-    fields = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in alignments.schema if f.name in kept
-    )
-    return alignments.mapInPandas(run, f"{fields}, edits {TRACE_TYPE}")
+            texts, patterns = (batch.column(c).to_pylist() for c in ("ref_text", "read_text"))
+            table = (max(map(len, texts), default=0) + 1) * (max(map(len, patterns), default=0) + 1)
+            rows = max(1, cells // table)
+            for first in range(0, len(texts), rows):
+                places, operations = trace(texts[first : first + rows], patterns[first : first + rows])
+                found = operations >= 0
+                ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
+                names = pa.array(operation_names).take(pa.array(operations[found]))
+                each = pa.StructArray.from_arrays([pa.array(places[found]), names], names=["pos", "op"])
+                edits = pa.ListArray.from_arrays(pa.array(ends), each).cast(kind)
+                own = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays([*own.columns, edits], names=[*own.schema.names, "edits"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alignments.schema)
+    return alignments.mapInArrow(run, f"{fields}, edits {TRACE_TYPE}")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from model import alignments, gapped, planted, rc, unique
 
@@ -228,6 +230,38 @@ def test_gapped_edits_explain_the_distance(spark):
     assert "reference_base" in best[0] and "read_base" in best[1] and "mismatch" in best[2]
 
 
+def test_edit_traces_of_random_texts():
+    from strandjoin.operators.gapped import OPERATIONS, edit_tracer
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ACGT") for _ in range(rng.randrange(12)))
+    pairs = [(word(), word()) for _ in range(300)] + [("", ""), ("A", ""), ("", "C")]
+    places, operations = edit_tracer()(*map(list, zip(*pairs)))
+    for (text, read), at, ops in zip(pairs, places, operations):
+        edits = [(int(p), OPERATIONS[o]) for p, o in zip(at, ops) if o >= 0]
+        assert edits == sorted(edits, key=lambda e: e[0])
+        i, rebuilt = 0, ""
+        for p in range(len(read) + 1):
+            i += edits.count((p, "reference_base"))
+            if p == len(read):
+                break
+            if (p, "read_base") in edits:
+                rebuilt += read[p]
+                continue
+            rebuilt += read[p] if (p, "mismatch") in edits else text[i]
+            i += 1
+        assert rebuilt == read and i == len(text) and len(edits) == levenshtein(text, read)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        last, row = row, [row[0] + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
 def test_stats_and_salts(spark):
     params = AlignParams(salt_rows=2)
     refs, reads = tables(spark, [(0, "A" * 50)], [(1, "A" * 36), (2, "A" * 36), (3, READ)])
