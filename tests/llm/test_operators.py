@@ -241,11 +241,17 @@ def test_personal_data_equals_brute_force(spark):
 
 
 def test_contexts_are_learned(spark):
+    # "see page" stands before identifiers too seldom, "for all" also where none follows, and a
+    # context whose first word is longer than the tail is none.
     texts = [(i, f"blah staff mail: a{i}@b.com and staff mail: x{i}y else") for i in range(6)] + [(9, "the card 77 of")]
+    texts += [(10 + i, f"see page c{i}@b.com see page {i} see page {i}b") for i in range(4)]
+    texts += [(20 + i, f"for all d{i}@b.com for all of for all z{i}") for i in range(4)]
+    texts += [(30 + i, f"{'w' * 120} to e{i}@b.com {'w' * 120} to v{i}") for i in range(4)]
     got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, texts), confidence=0.5).collect()}
     for i in range(6):
         assert [tuple(s) for s in got[i].spans] == [tuple(s) for s in got[i].base] + [(0, texts[i][1].index(f"x{i}y"), texts[i][1].index(f"x{i}y") + 3)]
     assert not got[9].spans
+    assert all(got[i].spans == got[i].base for i in got if i >= 10)
 
 
 def brute_secrets(text):
