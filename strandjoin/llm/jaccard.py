@@ -478,8 +478,14 @@ def similar_documents(
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    judged = similar_documents(docs, doc_id, text, **options)
-    gone = judged.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stage(gone.select(F.col("doc_id").alias("_id")).distinct(), "similar")
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
+    """The first row of each component by id, then place, with all its columns; null ids are last.
+
+    Rows are told apart by number, so neither null nor repeated ids take other rows with them.
+    docs must be read from files or a table, so that reading it twice deals out rows alike.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    judged = similar_documents(numbered.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **options)
+    gone = judged.where(F.col("doc_id.row") != F.col("component_id.row"))
+    gone = stage(gone.select(F.col("doc_id.row").alias("_gone")), "similar")
+    return numbered.join(gone, numbered["_row"] == gone["_gone"], "left_anti").drop("_row")

@@ -129,6 +129,22 @@ def test_similar_documents_equal_brute_force(spark, leaf_rows):
     assert jaccard.similar_documents(documents(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark, tmp_path):
+    words = [[f"w{k}x{j}" for j in range(40)] for k in range(9)]
+    near = lambda k: " ".join([*words[k][:-1], "changed"])
+    one = lambda k: " ".join(words[k])
+    # A near copy without id, near copies that share an id, and clean texts beside them.
+    texts = [(1, one(0)), (None, near(0)), (None, one(1)), (None, one(2)), (None, near(2)), (7, one(3)), (7, near(3)), (7, one(4)), (8, one(5)), (7, near(5)), (9, None), (None, None)]
+    documents(spark, texts).coalesce(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = jaccard.keep_one_of_each(docs, shingle=5, threshold=(80, 100))
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(kept) == 8
+    assert {(1, one(0)), (None, one(1)), (7, one(4)), (7, near(5)), (9, None), (None, None)} <= set(kept)
+    assert len([k for k in kept if k[1] in (one(2), near(2))]) == len([k for k in kept if k[1] in (one(3), near(3))]) == 1
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
