@@ -1,10 +1,12 @@
 """Secret scan: known forms, and strings whose windows have a high Shannon entropy.
 
 Base forms are assignments to password-like names, access keys and long hexadecimal runs. The
-method then takes every long run of key characters that no base span touches, slides a window
-over it, keeps the counts of the characters in the window by adding the one that enters and
-taking off the one that leaves, and flags the run if the entropy of any window reaches the
-limit of the run's character class. Runs that fit the allow-list are not flagged.
+method then takes every long run of key characters, without the parts that base spans cover,
+slides a window over it, keeps the counts of the characters in the window by adding the one that
+enters and taking off the one that leaves, and flags the run if the entropy of any window
+reaches the limit of the run's character class. Every run has a class. Digits alone never reach
+its limit. Runs that fit the allow-list are not flagged; its plain words are lower or upper
+case, or capitalized.
 
 DataFrame functions only. Defined results: null text is empty; repeated rows and ids give a
 row each.
@@ -38,6 +40,8 @@ CLASSES = (
     ("hex", r"^(?=[^0-9]*[0-9])(?=[^a-fA-F]*[a-fA-F])[0-9a-fA-F]+$", 3.0),
     ("alnum", r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[0-9A-Za-z]+$", 3.7),
     ("base64", r"^(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[0-9A-Za-z+/_=-]+$", 3.9),
+    ("one case", r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])", 3.9),
+    ("no digits", r"^", 4.0),
 )
 #: Runs that look random but are public: UUIDs, alphabets and digits in sequence, examples,
 #: paths and names of several plain words, checksums with their method named.
@@ -45,7 +49,7 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"(?i)example|sample|placeholder|dummy|xxxx",
-    r"^(?:[A-Za-z]*[/_=-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^(?:(?:(?:[A-Z]?[a-z]++)*+|[A-Z]++)[/_=-])+(?:(?:[A-Z]?[a-z]++)*+|[A-Z]++)[0-9]{0,4}$",
     r"^(?:sha(?:1|256|384|512)|md5)[-=]",
 )
 
@@ -120,12 +124,35 @@ def by_place(spans: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Random-looking runs that no base span touches."""
-    free = F.filter(
-        find(text, CANDIDATE),
-        lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])),
-    )
-    return kind_spans(3, free, is_random)
+    """Random-looking runs; of one that base spans touch, the parts between them, judged together."""
+
+    def parts(m: Column, touching: Column) -> Column:
+        begins = F.concat(F.array(m["start"]), F.transform(touching, lambda b: b["end"]))
+        free = F.filter(
+            F.array_distinct(begins),
+            lambda p: (p < m["end"]) & ~F.exists(touching, lambda b: (b["start"] <= p) & (p < b["end"])),
+        )
+
+        def part(p: Column) -> Column:
+            later = F.filter(touching, lambda b: b["start"] > p)
+            end = F.coalesce(F.array_min(F.transform(later, lambda b: b["start"])), m["end"])
+            return F.struct(p.alias("start"), end.alias("end"))
+
+        return F.transform(free, part)
+
+    def random_parts(m: Column) -> Column:
+        cut = lambda p: F.substring(m["value"], (p["start"] - m["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))
+        touching = F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+
+        def judged(found: Column) -> Column:
+            return let(
+                F.array_join(F.transform(found, cut), ""),
+                lambda left: F.filter(found, lambda _: (F.length(left) >= WINDOW) & is_random(left)),
+            )
+
+        return let(touching, lambda touching: let(parts(m, touching), judged))
+
+    return kind_spans(3, F.flatten(F.transform(find(text, CANDIDATE), random_parts)))
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -302,6 +302,18 @@ def test_window_entropy(spark):
     assert [r[0] for r in flags.collect()] == [True, False, False]
 
 
+def test_every_run_has_a_class(spark):
+    keys = ["xk_live_9f3qz7m2w8v5t1c6y4b0", "XK/LIVE/9F3QZ7M2W8V5T1C6Y4B0", "qZwXeRtYuIoPaSdFgHjKlMnB", "aQzW-sXeDcRfVtGbYhNuJ_mI"]
+    key = "Qz8WxE5rTc7Y" + "0123456789abcdef01234567" + "-uIoPlKjHg4F"
+    plain = ["names/of_several-plain/words-here", "SomeLongName_of-plainWords2024", "1234567890123456789012", "internationalizationalism"]
+    texts = list(enumerate([f"see {k} there" for k in [*keys, key, *plain]]))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(documents(spark, texts)).collect()}
+    for i, k in enumerate(keys):
+        assert got[i] == [(3, 4, 4 + len(k))]
+    assert got[len(keys)] == [(3, 4, 16), (2, 16, 40), (3, 40, 52)]
+    assert not any(got[i] for i in range(len(keys) + 1, len(texts)))
+
+
 def test_chains_equal_enumeration():
     rng = np.random.default_rng(0)
     scores, move = rng.normal(size=(150, 3)), rng.normal(size=(3, 3))
