@@ -8,8 +8,9 @@ from several texts, so that switches of language occur. Prediction runs forward-
 the whole chain of every text; the language with the most probability, summed over the words,
 is the text's, and its share of the words is the score.
 
-The model is fitted on a bounded sample of labelled rows (MAX_TRAIN_DOCS, by hash of the id, so
-many for each language, texts up to MAX_TRAIN_CHARS); prediction reads whole texts.
+The model is fitted on a bounded sample of labelled rows (MAX_TRAIN_DOCS for each language, by
+hash of id and text; of a text longer than MAX_TRAIN_CHARS a stretch of that length, at a place
+by its hash); prediction reads whole texts.
 
 Defined results: `und` with score 0 if the text is null or has no letter; a null id is never
 held out nor learned from; with no labelled rows every text is `und`. Repeated rows get a row
@@ -266,17 +267,25 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
+def stretch(text: F.Column, place: F.Column) -> F.Column:
+    """A text up to MAX_TRAIN_CHARS; of a longer one whole words of a stretch, at a place by hash."""
+    begin = (F.pmod(place, F.length(text) - MAX_TRAIN_CHARS + 1) + 1).cast("int")
+    piece = F.substring(text, begin, F.lit(MAX_TRAIN_CHARS))
+    words = F.regexp_replace(piece, r"^\S*\s+|\s+\S*$", "")
+    return F.when(F.length(text) <= MAX_TRAIN_CHARS, text).when(F.length(words) > 0, words).otherwise(piece)
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_TRAIN_DOCS) -> Model:
-    """Fit on at most so many rows of each language outside the held-out fold."""
-    usable = docs.where((fold(doc_id) != HELD_OUT) & F.col(lang).isNotNull())
-    usable = usable.where(F.length(text).between(1, MAX_TRAIN_CHARS))
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang)).count().collect()}
-    # Rows pass by hash of their id, about twice as many as wanted; the first by hash are taken.
-    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30))
+    """Fit on at most so many different rows of each language outside the held-out fold."""
+    usable = docs.where((fold(doc_id) != HELD_OUT) & F.col(lang).isNotNull() & (F.length(text) > 0))
+    # Rows pass by hash, about twice as many as wanted; the first by hash are taken, copies once.
+    place = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30))
+    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang)).agg(F.approx_count_distinct(place)).collect()}
     limit = F.lit(0)
     for name, n in counts.items():
-        limit = F.when(F.col(lang) == name, F.lit(int(min(1.0, (2 * most + 20) / n) * (1 << 30)))).otherwise(limit)
-    passed = usable.where(place < limit).select(F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("place"))
+        limit = F.when(F.col(lang) == name, F.lit(int(min(1.0, (2 * most + 20) / max(1, n)) * (1 << 30)))).otherwise(limit)
+    passed = usable.where(place < limit).select(stretch(F.col(text), place).alias("text"), F.col(lang).alias("lang"), place.alias("place"))
+    passed = passed.dropDuplicates(["lang", "place"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     rows = passed.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("lang", "nth").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
@@ -292,7 +301,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs whose language is found, with all their columns.
 
-    A text is rejected if its language is `und`: it is null or has no letter.
+    A text is rejected if its language is `und`: it is null or has no letter. Where no label is
+    learned the texts with a letter stay.
     """
     model = train(docs, doc_id, text, lang)
     names = docs.columns
@@ -300,8 +310,11 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, names.index(text)):
-                langs, _ = label_texts(model, part.column(names.index(text)))
-                kept = [found != UNKNOWN for found in langs]
+                texts = part.column(names.index(text))
+                if model.labels:
+                    kept = [found != UNKNOWN for found in label_texts(model, texts)[0]]
+                else:
+                    kept = [has_letter(value.as_py()) for value in texts]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

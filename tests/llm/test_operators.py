@@ -353,6 +353,22 @@ def test_language_stage_keeps_letters(spark):
     assert kept == {r.doc_id for r in docs.collect()} | {10004, 10005, 10006, 10007}
 
 
+def test_language_stage_without_labels(spark):
+    docs = documents(spark, [(0, "some words"), (1, None), (2, "12 !?"), (3, "x")]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in langid.keep_identified(docs).collect()} == {0, 3}
+
+
+def test_long_texts_and_repeated_ids_are_learned_from(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "the cat and the dog " * 3, "en") for i in ids] + [(i, "le chat et le chien " * 1000, "fr") for i in ids]
+    # More rows than are sampled, all of one id.
+    rows += [(ids[0], f"der hund und die katze {k}", "de") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, most=10)
+    assert sorted(model.labels) == ["de", "en", "fr"]
+    assert langid.label_texts(model, pa.array(["le chat", "the dog", "die katze"]))[0] == ["fr", "en", "de"]
+
+
 def test_code_switching_is_labelled_word_by_word():
     texts = ["the cat and the dog " * 8, "le chat et le chien " * 8] * 30
     model = langid.fit(texts, ["en", "fr"] * 30, epochs=6)
