@@ -7,7 +7,7 @@ of the tokens that occur once in (nearly) every page is the template's outermost
 valid if its tokens nest (each one's path extends another's, or they share the parent), and
 classes nest in the class of their nearest ancestor. The text between template tokens are its
 slots. The main slot is found by walking down the outermost class as long as one element holds
-most of the text that is no menu, header, footer, sidebar, notice, advert, form or comment; its
+all of the text that is no menu, header, footer, sidebar, notice, advert, form or comment; its
 slots are extracted, without such parts.
 
 A host's pages never meet in one task: sums are taken per task first, and the deduction sees
@@ -48,13 +48,12 @@ BOILERPLATE_WORDS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
+    rf"|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\2\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-#: A child that holds this share of its parent's text is the way down.
-SHARE = 0.6
 #: Hosts up to this number have their slots broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -87,10 +86,10 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
         return [(path, text, boilerplate)] if text else []
 
     for found in TOKEN.finditer(page):
-        raw, close, tag, attributes = found.groups()
+        empty, raw, close, tag, attributes = found.groups()
         token = found.group()
         if tag is None:
-            if raw is None and not token.startswith(("<!", "<?")):
+            if empty is None and raw is None and not token.startswith(("<!", "<?")):
                 held.append(token)
             continue
         tag = tag.lower()
@@ -189,7 +188,8 @@ def deduce(group: pd.DataFrame) -> pd.DataFrame:
     while True:
         inside = [p for p in outer if p.rpartition("/")[0] == at and p]
         best = max(inside, key=lambda p: (chars[p], p), default=None)
-        if best is None or chars[best] < SHARE * max(1, chars[at]):
+        # What a step leaves behind is lost, so that no text may stand beside the way down.
+        if best is None or chars[best] < max(1, chars[at]):
             break
         at = best
     # A heading or paragraph alone is no slot: its parent is.

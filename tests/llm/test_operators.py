@@ -205,6 +205,13 @@ def test_main_text(spark):
     assert got == sorted(want, key=str)
 
 
+def test_lead_and_closed_icon_stay(spark):
+    page = '<html><body><nav>menu</nav><article><h1>Head {0}</h1><div class="lead">short {0}</div><div class="body"><p>much longer text of page {0}<svg class="i"/><p>and so on</p></div></article><footer>end</footer></body></html>'
+    rows = [(i, "http://l.org/", page.format(i)) for i in range(6)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i} short {i} much longer text of page {i} and so on" for i in range(6)}
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.example.org/es/1": ("block", "example.org/es/"),
