@@ -10,6 +10,12 @@ slots. The main slot is found by walking down the outermost class as long as one
 all of the text that is no menu, header, footer, sidebar, notice, advert, form or comment; its
 slots are extracted, without such parts.
 
+Text blocks are tokens too: their path and a hash of their text. Those of valid classes that
+nearly every page has are template, and are taken out wherever they stand; not so on hosts of
+fewer than TEMPLATE_PAGES pages, or where they would be most of the text, as on a host of copies,
+and a page of such text alone keeps it. The lists of class names are the fallback: on a host with
+enough pages they do not decide inside the main slot.
+
 A host's pages never meet in one task: sums are taken per task first, and the deduction sees
 only the tokens that at least half of the host's pages have.
 
@@ -20,6 +26,7 @@ comments with the page. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -54,33 +61,42 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: Fewer pages do not tell template text from text that pages share by chance.
+TEMPLATE_PAGES = 5
+#: Why an element is boilerplate: by its class or id only, or by its tag or role.
+BY_NAME, BY_TAG = 1, 2
 #: Hosts up to this number have their slots broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
 
-def element(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name in paths, and whether it is boilerplate by its tag or names."""
-    name, boilerplate = tag, tag in BOILERPLATE
+def element(tag: str, attributes: str) -> tuple[str, int]:
+    """The element's name in paths, and whether it is boilerplate: 0, BY_NAME or BY_TAG."""
+    name, boilerplate = tag, BY_TAG * (tag in BOILERPLATE)
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
             words = re.findall("[a-z0-9]+", value.lower())
             if key.lower() == "role":
-                boilerplate = boilerplate or value.lower() in ROLES
+                boilerplate = max(boilerplate, BY_TAG * (value.lower() in ROLES))
                 continue
-            boilerplate = boilerplate or not BOILERPLATE_WORDS.isdisjoint(words)
+            boilerplate = max(boilerplate, BY_NAME * (not BOILERPLATE_WORDS.isdisjoint(words)))
             if key.lower() == "class":
                 name += "." + ".".join(re.sub("[0-9]+", "0", w) for w in words)
     return name, boilerplate
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
+def block_token(path: str, text: str) -> str:
+    """The token of a text block: below its element's path, where no element's name begins so."""
+    return f"{path}/#{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def blocks(page: str) -> Iterator[tuple[str, str, int]]:
     """(path, text, boilerplate) of every block, and (path, "", boilerplate) of every element."""
-    open_tags: list[tuple[str, str, bool]] = []
+    open_tags: list[tuple[str, str, int]] = []
     held: list[str] = []
-    path, boilerplate = "", False
+    path, boilerplate = "", 0
 
-    def flush() -> list[tuple[str, str, bool]]:
+    def flush() -> list[tuple[str, str, int]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         return [(path, text, boilerplate)] if text else []
@@ -107,10 +123,10 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
             while open_tags and (open_tags[-1][0] == "p" or open_tags[-1][0] == tag == "li"):
                 open_tags.pop()
             name, own = element(tag, attributes)
-            above, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else ("", False)
-            open_tags.append((tag, f"{above}/{name}", inside or own))
+            above, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else ("", 0)
+            open_tags.append((tag, f"{above}/{name}", max(inside, own)))
             yield open_tags[-1][1], "", open_tags[-1][2]
-        path, boilerplate = (open_tags[-1][1], open_tags[-1][2]) if open_tags else ("", False)
+        path, boilerplate = (open_tags[-1][1], open_tags[-1][2]) if open_tags else ("", 0)
     yield from flush()
 
 
@@ -118,7 +134,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
     """(host, path, pages, once, vector, chars): sums of the tokens' occurrences by host and path.
 
     vector: of occurrences times a hash of the page; once: pages where it occurs once; chars: of
-    text below it that is no boilerplate. One row for each batch, host and path.
+    text below it that is no boilerplate. One row for each batch, host and path, or text block.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +147,12 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     if not text:
                         if not boilerplate:
                             counts[path] = counts.get(path, 0) + 1
-                    elif not boilerplate:
-                        chars[path] = chars.get(path, 0) + len(text)
+                        continue
+                    if boilerplate < BY_TAG:
+                        token = block_token(path, text)
+                        counts[token] = counts.get(token, 0) + 1
+                    if boilerplate == 0:
+                        chars[token] = chars.get(token, 0) + len(text)
                 below = dict.fromkeys(counts, 0)
                 for path, n in chars.items():
                     while True:
@@ -162,6 +182,8 @@ def token_classes(pages: DataFrame) -> DataFrame:
     tokens = occurrences(pages).groupBy("host", "path").agg(
         F.sum("pages").alias("pages"), F.sum("once").alias("once"), wide.alias("vector"), F.sum("chars").alias("chars")
     )
+    # Rarer text blocks cannot be template.
+    tokens = tokens.where(~F.contains("path", F.lit("/#")) | (F.col("pages") >= TEMPLATE_PAGES))
     tokens = stage(tokens.withColumn("vector", (F.col("vector") % F.lit(1 << 62)).cast("long")), "tokens")
     totals = tokens.where(F.col("path") == "").select("host", F.col("pages").alias("of"))
     return tokens.join(totals, "host").where(F.col("pages") * 2 >= F.col("of"))
@@ -174,16 +196,31 @@ def nests(paths: list[str]) -> bool:
     return all(p == shortest or p.startswith((shortest + "/", parent + "/")) for p in paths)
 
 
+def is_text(path: str) -> bool:
+    return path.rpartition("/")[2].startswith("#")
+
+
 def deduce(group: pd.DataFrame) -> pd.DataFrame:
-    """The main slot of one host from its frequent tokens."""
+    """The main slot and the template's text blocks of one host from its frequent tokens."""
     of = int(group["of"].iloc[0])
     classes: dict[int, list[str]] = {}
     for path, vector in zip(group["path"], group["vector"]):
         classes.setdefault(int(vector), []).append(path)
     chars = dict(zip(group["path"], group["chars"]))
     once = dict(zip(group["path"], group["once"]))
-    # The outermost template: tokens of valid classes that nearly every page has once.
-    outer = {p for paths in classes.values() if nests(paths) for p in paths if once[p] * 10 >= of * 9}
+    valid = {p for paths in classes.values() if nests(paths) for p in paths}
+    on_pages = dict(zip(group["path"], group["pages"]))
+    template = [p for p in sorted(valid) if is_text(p) and on_pages[p] * 10 >= of * 9]
+    if of < TEMPLATE_PAGES or sum(chars[p] for p in template) * 2 > chars[""]:
+        template = []
+    for p in template:
+        n = chars[p]
+        while p:
+            p = p.rpartition("/")[0]
+            if p in chars:
+                chars[p] -= n
+    # The outermost template: elements of valid classes that nearly every page has once.
+    outer = {p for p in valid if not is_text(p) and once[p] * 10 >= of * 9}
     at = ""
     while True:
         inside = [p for p in outer if p.rpartition("/")[0] == at and p]
@@ -195,19 +232,35 @@ def deduce(group: pd.DataFrame) -> pd.DataFrame:
     # A heading or paragraph alone is no slot: its parent is.
     while re.fullmatch(r"(h[1-6]|p|li|td|tr|blockquote|pre)(\..*)?", at.rpartition("/")[2]):
         at = at.rpartition("/")[0]
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "slot": [at]})
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "slot": [at], "enough": [of >= TEMPLATE_PAGES], "template": [template]})
 
 
 def main_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot): the path of each host's main slot."""
-    return token_classes(pages).groupBy("host").applyInPandas(deduce, "host string, slot string")
+    """(host, slot, enough, template): each host's main slot and the text blocks of its template.
+
+    enough: the host has enough pages to tell its template.
+    """
+    schema = "host string, slot string, enough boolean, template array<string>"
+    return token_classes(pages).groupBy("host").applyInPandas(deduce, schema)
 
 
-def slot_text(page: str, slot: str) -> str:
+def slot_text(page: str, slot: str, enough: bool = False, template: frozenset[str] = frozenset()) -> str:
     """The text of the slot without boilerplate; of the whole page if the slot is not there."""
-    kept = [(path, text) for path, text, boilerplate in blocks(page) if text and not boilerplate]
-    inside = [text for path, text in kept if not slot or path == slot or path.startswith(slot + "/")]
-    return " ".join(inside or [text for _, text in kept])
+    own = enough and slot.rpartition("/")[2].partition(".")[0] not in ("", "html", "body")
+    inside, kept, fixed = [], [], []
+    for path, text, boilerplate in blocks(page):
+        if not text or boilerplate == BY_TAG:
+            continue
+        in_slot = not slot or path == slot or path.startswith(slot + "/")
+        if boilerplate and not (own and in_slot):
+            continue
+        if template and block_token(path, text) in template:
+            fixed.append(text)
+            continue
+        kept.append(text)
+        if in_slot:
+            inside.append(text)
+    return " ".join(inside or kept or fixed)
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -225,7 +278,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [slot_text(h or "", s or "") for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            texts = [slot_text(h or "", s or "", bool(e), frozenset(t or ())) for h, s, e, t in rows]
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths],
@@ -233,5 +287,5 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
             )
 
     kind = pages.schema[page_id].dataType.simpleString()
-    found = joined.select("page_id", "url", "html", "slot")
+    found = joined.select("page_id", "url", "html", "slot", "enough", "template")
     return found.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

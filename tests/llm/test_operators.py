@@ -206,10 +206,25 @@ def test_main_text(spark):
 
 
 def test_lead_and_closed_icon_stay(spark):
-    page = '<html><body><nav>menu</nav><article><h1>Head {0}</h1><div class="lead">short {0}</div><div class="body"><p>much longer text of page {0}<svg class="i"/><p>and so on</p></div></article><footer>end</footer></body></html>'
+    page = '<html><body><nav>menu</nav><article><h1>Head {0}</h1><div class="lead">short {0}</div><div class="body"><p>much longer text of page {0}<svg class="i"/><p>and so on {0}</p></div></article><footer>end</footer></body></html>'
     rows = [(i, "http://l.org/", page.format(i)) for i in range(6)]
     got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.text for r in got} == {i: f"Head {i} short {i} much longer text of page {i} and so on" for i in range(6)}
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i} short {i} much longer text of page {i} and so on {i}" for i in range(6)}
+
+
+def test_template_text_goes_and_named_blocks_stay(spark):
+    page = '<html><body><article><h1>Head {0}</h1><div class="x17">Special offer</div><p>the text of page {0} that is long</p><div class="related">see also {0}</div></article><div class="x9">All rights</div></body></html>'
+    rows = [(i, "http://t.org/", page.format(i)) for i in range(6)]
+    # Copies of one page are no template, and few pages tell none.
+    rows += [(10 + i, "http://c.org/", page.format("one")) for i in range(6)]
+    rows += [(20 + i, "http://f.org/", page.format(i)) for i in range(2)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in got}
+    for i in range(6):
+        assert got[i] == f"Head {i} the text of page {i} that is long see also {i}"
+        assert got[10 + i].startswith("Head one Special offer the text of page one that is long")
+    for i in range(2):
+        assert got[20 + i] == f"Head {i} Special offer the text of page {i} that is long All rights"
 
 
 def test_url_rules(spark):
