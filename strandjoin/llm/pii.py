@@ -1,7 +1,8 @@
 """Personal data: seed forms, and contexts learned from them by bootstrapping.
 
-Seeds are emails, IP addresses, payment cards and phone numbers by form. The two plain words
-before a token with a digit are its context. Contexts that stand before at least
+Seeds are emails, IP addresses, payment cards and phone numbers by form, with their whole text, or
+its digits. Candidates are runs of number tokens and tokens with a digit. The two plain words
+before one are its context. Contexts that stand before at least
 `min_values` different tokens are scored over the whole corpus:
 
     confidence = occurrences before known identifiers / all occurrences of the two words
@@ -40,11 +41,13 @@ IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})\.){3}0*+(?:25
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: A token with a digit, and the two whole words before it; words that fill more characters than
-#: the tail are no context.
-TOKEN = r"[^\s]*[0-9][^\s]*"
+#: A run of number tokens, or a token with a digit, and the two whole words before the token it
+#: starts in; words that fill more characters than the tail are no context.
+NUMBER = r"[+(]*+[0-9][0-9().,/+-]*+"
+TOKEN = rf"(?<!\S){NUMBER}(?:\s++{NUMBER}(?!\S))++|[^\s]*[0-9][^\s]*"
+NUMBER_ONLY = r"^[0-9().,/+\s-]+$"
 CONTEXT_TAIL = 96
-CONTEXT = r"\s([^\s0-9]+)\s+([^\s0-9]+)\s*$"
+CONTEXT = r"\s([^\s0-9]+)\s+([^\s0-9]+)\s+[^\s]*$"
 
 MIN_VALUES = 3
 CONFIDENCE = 0.6
@@ -87,27 +90,58 @@ def context_key(first: Column, second: Column) -> Column:
 
 
 def mentions(text: Column, base: Column) -> Column:
-    """Tokens with a digit after two plain words: (start, end, value, context, kind).
+    """Identifiers and candidates after two plain words: (start, end, value, context, kind).
 
-    kind: of the base span that touches the token, or null.
+    An identifier is a whole base span; of spans that overlap, the first. A candidate is a run of
+    number tokens or a token with a digit that no base span touches; its kind is null.
     """
+    number = lambda value: F.regexp_replace(value, "[^0-9]", "")
+
+    def row(start: Column, end: Column, value: Column, kind: Column) -> Column:
+        first = F.greatest(F.lit(0), start - CONTEXT_TAIL)
+        before = F.substring(text, (first + 1).cast("int"), (start - first).cast("int"))
+        tail = F.when(first > 0, before).otherwise(F.substring(F.concat(F.lit(" "), before), -CONTEXT_TAIL, CONTEXT_TAIL))
+        return let(
+            tail,
+            lambda tail: F.struct(
+                start.alias("start"),
+                end.alias("end"),
+                value.alias("value"),
+                F.when(
+                    tail.rlike(CONTEXT),
+                    context_key(F.regexp_extract(tail, CONTEXT, 1), F.regexp_extract(tail, CONTEXT, 2)),
+                ).alias("context"),
+                kind.alias("kind"),
+            ),
+        )
 
-    def row(m: Column) -> Column:
-        tail = F.substring(F.concat(F.lit(" "), m["before"]), -CONTEXT_TAIL, CONTEXT_TAIL)
+    def identifier(b: Column) -> Column:
+        value = F.substring(text, (b["start"] + 1).cast("int"), (b["end"] - b["start"]).cast("int"))
+        return row(b["start"], b["end"], F.when(b["kind"] >= 2, number(value)).otherwise(F.lower(value)), b["kind"])
+
+    def candidate(m: Column) -> Column:
         lead = F.length(F.regexp_extract(m["value"], r"^[\"'(\[{<]*", 0))
         trail = F.length(F.regexp_extract(m["value"], r"[.,;:!?\"')\]}>]*$", 0))
         start, end = m["start"] + lead, m["end"] - trail
-        touching = F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-        has_context = tail.rlike(CONTEXT)
-        return F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            F.substring(m["value"], lead + 1, (end - start).cast("int")).alias("value"),
-            F.when(has_context, context_key(F.regexp_extract(tail, CONTEXT, 1), F.regexp_extract(tail, CONTEXT, 2))).alias("context"),
-            F.get(touching, F.lit(0))["kind"].alias("kind"),
-        )
-
-    rows = F.transform(find(text, TOKEN, text.rlike("[0-9]")), row)
+        value = F.substring(m["value"], lead + 1, (end - start).cast("int"))
+        digits = number(value)
+        value = F.when(F.length(digits) >= 8, F.when(value.rlike(NUMBER_ONLY), digits)).otherwise(F.lower(value))
+        return row(start, end, F.coalesce(value, F.lower(m["value"])), F.lit(None).cast("int"))
+
+    first = F.filter(
+        base,
+        lambda b: ~F.exists(
+            base,
+            lambda o: (o["start"] < b["end"])
+            & (o["end"] > b["start"])
+            & ((o["start"] < b["start"]) | ((o["start"] == b["start"]) & (o["kind"] < b["kind"]))),
+        ),
+    )
+    free = F.filter(
+        find(text, TOKEN, text.rlike("[0-9]")),
+        lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])),
+    )
+    rows = F.concat(F.transform(first, identifier), F.transform(free, candidate))
     return F.filter(rows, lambda m: m["context"].isNotNull() & (m["end"] > m["start"]))
 
 

@@ -292,6 +292,16 @@ def test_contexts_are_learned(spark):
     assert all(got[i].spans == got[i].base for i in got if i >= 10)
 
 
+def test_phones_and_seeds_without_a_digit_teach(spark):
+    texts = [(i, f"please call me: +1 (988) 555-248{i} or") for i in range(5)] + [(8, "please call me: 988 555 7777 or")]
+    names = ["ann", "bob", "eve", "kim", "lou"]
+    texts += [(10 + i, f"her own mail <{n}@mail.org> and") for i, n in enumerate(names)] + [(18, "her own mail u5x and")]
+    got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, texts)).collect()}
+    assert [tuple(s) for s in got[8].spans] == [(3, 16, 28)]
+    assert [tuple(s) for s in got[18].spans] == [(0, 13, 16)]
+    assert all(got[i].spans == got[i].base for i in got if i not in (8, 18))
+
+
 def brute_secrets(text):
     text, out = text or "", []
     assign = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
