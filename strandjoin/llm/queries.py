@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandjoin.llm import (
+    conversations,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -112,6 +113,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.repair_conversations(turns, conversations.damage(turns))
+
+
 def queries() -> dict:
     found = (
         op1_decontamination,
@@ -124,5 +130,6 @@ def queries() -> dict:
         op8_warc_fixity,
         op9_language_id,
         op10_secret_scan,
+        op11_conversation_repair,
     )
     return {query.__name__: query for query in found}
