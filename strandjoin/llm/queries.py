@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandjoin.llm import (
+    byte_bpe,
     conversations,
     decontaminate,
     exact_dedup,
@@ -118,6 +119,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(turns, conversations.damage(turns))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     found = (
         op1_decontamination,
@@ -131,5 +142,6 @@ def queries() -> dict:
         op9_language_id,
         op10_secret_scan,
         op11_conversation_repair,
+        op12_byte_bpe,
     )
     return {query.__name__: query for query in found}
