@@ -85,5 +85,40 @@ def fixity() -> str:
     SELECT page_id, place, e - n AS "begin", e AS "end" FROM o WHERE page_id % 97 = 13"""
 
 
+def phrase_mining() -> str:
+    """All phrases counted; every cut of those with 100 occurrences or more; the 2000 best a language."""
+    return rf"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+    g AS (
+      SELECT lang, k, list_slice(w, i, i + k - 1) AS w
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k))),
+    f AS (SELECT lang, k, w, array_to_string(w, ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    cuts AS (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+    scored AS (
+      SELECT cuts.*, le.a AS l, ri.a AS r, n, (1000::HUGEINT * cuts.a * n) // (le.a::HUGEINT * ri.a) AS score
+      FROM cuts JOIN totals USING (lang)
+      JOIN f le ON le.lang = cuts.lang AND le.phrase = array_to_string(list_slice(cuts.w, 1, j), ' ')
+      JOIN f ri ON ri.lang = cuts.lang AND ri.phrase = array_to_string(list_slice(cuts.w, j + 1, cuts.k), ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    kept AS (
+      SELECT * FROM best WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.lang = best.lang AND f.k > best.k AND 100 * f.a >= 100 * best.a
+          AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' '))),
+    ranked AS (
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+        phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept)
+    SELECT * FROM ranked WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination(), "op4_url_filter": url_verdicts(), "op7_exact_dedup": exact_dedup(), "op8_warc_fixity": fixity()}
+    return {
+        "op1_decontamination": decontamination(),
+        "op4_url_filter": url_verdicts(),
+        "op7_exact_dedup": exact_dedup(),
+        "op8_warc_fixity": fixity(),
+        "op13_phrase_mining": phrase_mining(),
+    }

@@ -14,6 +14,7 @@ from strandjoin.llm import (
     jaccard,
     langid,
     packing,
+    phrases,
     pii,
     secrets,
     spans,
@@ -129,6 +130,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (
         op1_decontamination,
@@ -143,5 +148,6 @@ def queries() -> dict:
         op10_secret_scan,
         op11_conversation_repair,
         op12_byte_bpe,
+        op13_phrase_mining,
     )
     return {query.__name__: query for query in found}
