@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -325,15 +324,17 @@ def complete_job(spark, sf_dir):
 
 
 def _more(module: str, function: str) -> dict:
-    """What the subpackage of training-data operators registers, if it is there."""
-    if importlib.util.find_spec("strandjoin.llm") is None:
+    """What the subpackage of training-data operators registers, if it can be imported."""
+    try:
+        found = dict(getattr(importlib.import_module(f"strandjoin.llm.{module}"), function)())
+    except ImportError:
         return {}
-    found = dict(getattr(importlib.import_module(f"strandjoin.llm.{module}"), function)())
-    if importlib.util.find_spec("corpus_pipeline") is not None:
+    try:
         pipeline = importlib.import_module("corpus_pipeline")
-        more = {"queries": pipeline.run, "oracle_sql": pipeline.ORACLE_SQL}[function]
-        found |= {"pipeline": more} if more else {}
-    return found
+    except ImportError:
+        return found
+    more = {"queries": pipeline.run, "oracle_sql": pipeline.ORACLE_SQL}[function]
+    return found | ({"pipeline": more} if more else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:

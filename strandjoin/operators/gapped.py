@@ -168,21 +168,26 @@ def gapped_substring_join(
     return trace_edits(best.select(*columns, "ref_text", "read_text"))
 
 
-def edit_tracer() -> Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]:
+def edit_tracer() -> Callable:
     """A function of reference and read texts that finds one least-cost set of edits for each.
 
-    It returns two tables of (row, step): the read position and the index in OPERATIONS, -1
+    Of two texts it returns the list of (pos, op); of two lists two tables of (row, step): the read position and the index in OPERATIONS, -1
     where a step is no edit. All rows of a batch take each step of the table together. The
     function is nested so that it is shipped to the workers by value and the package need not
     be installed there.
     """
 
+    names = OPERATIONS
+
     def letters(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(v) for v in values])
         width = max(1, lengths.max(initial=0))
         return np.array(values, dtype=f"U{width}").view(np.uint32).reshape(len(values), width), lengths
 
-    def trace(texts: list[str], patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def trace(texts: str | list[str], patterns: str | list[str]) -> list | tuple[np.ndarray, np.ndarray]:
+        if isinstance(texts, str):
+            places, operations = trace([texts], [patterns])
+            return [(int(p), names[o]) for p, o in zip(places[0], operations[0]) if o >= 0]
         (text, n), (pattern, m) = letters(texts), letters(patterns)
         steps = np.arange(text.shape[1] + 1, dtype=np.int32)[:, None]
         cost = np.empty((pattern.shape[1] + 1, len(steps), len(texts)), dtype=np.int32)
@@ -206,7 +211,7 @@ def edit_tracer() -> Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarr
             places.append(i)
             operations.append(np.select([both & differ, from_text, from_pattern], [0, 1, 2], -1))
         shape = (len(places), len(texts))
-        return (np.array(x, dtype=np.int32).reshape(shape).T[:, ::-1] for x in (places, operations))
+        return tuple(np.array(x, dtype=np.int32).reshape(shape).T[:, ::-1] for x in (places, operations))
 
     return trace
 

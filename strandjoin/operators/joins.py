@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import AlignParams
+from ..sources.shared import written_once
 from .seeds import (
     frame_columns,
     packed_reference_seeds,
@@ -20,6 +21,13 @@ from .verify import group_lookup, mark_mismatches, project_alignments, verify_ca
 MAX_SALTED_SEEDS = 65_536
 # Upper bound of the list of seeds with an extended key; it is broadcast.
 MAX_REFINED_SEEDS = 500_000
+# Most rows of the key filter, of 64 bits each; it is broadcast.
+MAX_FILTER_WORDS = 1 << 20
+# Bits of the filter for each key: one place in so many passes by chance.
+FILTER_BITS_PER_KEY = 64
+# A read side that holds at most one in so many possible seeds leaves few places; those are
+# written once instead of being derived again for each use.
+SELECTIVE = 16
 
 
 def seed_join(read_seeds: DataFrame, reference_seeds: DataFrame, *keys: str) -> DataFrame:
@@ -39,6 +47,12 @@ def salted_seed_join(
     ).drop("salt")
 
 
+def has_repeated_ids(reads: DataFrame) -> bool:
+    """Whether an id names more than one row; one small job over the ids."""
+    repeated = reads.groupBy("read_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return not repeated.isEmpty()
+
+
 def distinct_reads(reads: DataFrame) -> DataFrame:
     """One row per read text: (read_id of the first copy, seq, copies).
 
@@ -57,6 +71,7 @@ class ReadStats:
     tile_rows: int
     max_fanout: int
     max_copies: int
+    seeds: int = 0  # different seeds
 
     def refine_threshold(self, params: AlignParams) -> int:
         """Fan-out above which a seed is refined; raised so that the list of such seeds is bounded."""
@@ -86,8 +101,9 @@ def read_stats(tiles: DataFrame) -> ReadStats:
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.max("n"), F.lit(0)).alias("fanout"),
         F.coalesce(F.max("copies"), F.lit(0)).alias("copies"),
+        F.count(F.lit(1)).alias("seeds"),
     ).first()
-    return ReadStats(row["rows"], row["fanout"], row["copies"])
+    return ReadStats(row["rows"], row["fanout"], row["copies"], row["seeds"])
 
 
 def refine_hot_seeds(
@@ -170,6 +186,39 @@ def salt_heavy_seeds(
     return spread.drop("salts"), copied.drop("salts"), True
 
 
+def keep_read_keys(
+    positions: DataFrame, tiles: DataFrame, keys: list[str], n_keys: int, key_len: int | None = None
+) -> DataFrame:
+    """Places whose key some read tile may have, found out in the scan of the reference.
+
+    The keys of the read side are bits of BIGINT words, at most MAX_FILTER_WORDS rows, which are
+    broadcast. Plain seeds of up to nine bases (``key_len``) number their bits themselves, so
+    that exactly the places with a matching key stay; longer keys are hashed, and a place without
+    one passes with a chance of keys / bits. A read side with more keys than half of the bits
+    would let most places pass, and gets no filter.
+    """
+    one = F.lit(1).cast("bigint")
+    if key_len is not None and 3 * key_len <= 27:
+        number = F.col(keys[0])
+    else:
+        words = 1 << 10
+        while words < MAX_FILTER_WORDS and words * 64 < n_keys * FILTER_BITS_PER_KEY:
+            words *= 2
+        if 2 * n_keys > words * 64:
+            return positions
+        number = F.pmod(F.xxhash64(*keys), F.lit(words * 64))
+    word = F.call_function("shiftright", number, F.lit(6)).alias("filter_word")
+    bit = F.call_function("shiftleft", one, number.bitwiseAND(F.lit(63)).cast("int"))
+    wanted = tiles.select(word, bit.alias("bit")).groupBy("filter_word")
+    wanted = F.broadcast(wanted.agg(F.bit_or("bit").alias("filter_bits")))
+    met = positions.withColumn("filter_word", word).join(wanted, "filter_word")
+    return met.where(F.col("filter_bits").bitwiseAND(bit) != 0).select(*positions.columns)
+
+
+def seed_space(params: AlignParams) -> int:
+    return 4**params.key_len
+
+
 def join_packed_seeds(
     positions: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats, refine: bool
 ) -> DataFrame:
@@ -177,18 +226,25 @@ def join_packed_seeds(
 
     A read side of checked size is broadcast and the reference is never shuffled. Beyond that
     both sides are shuffled by seed, with heavy seeds salted; as long as a partition of the read
-    side fits into a hash table the reference need not be sorted. With ``refine`` seeds that
-    have many read tiles get an extended key in either case.
+    side fits into a hash table the reference need not be sorted. Places without a matching key
+    are dropped before the exchange; where few are left, they are written once. With ``refine``
+    seeds that have many read tiles get an extended key in either case.
     """
     keys = ["seed"]
     broadcast = uses_broadcast(params, stats)
     salted = False
     if not broadcast:
+        positions = keep_read_keys(positions, tiles, keys, stats.seeds, params.key_len)
+        if stats.seeds * SELECTIVE <= seed_space(params):
+            positions = written_once(positions, "places")
         positions, tiles, salted = salt_heavy_seeds(positions, tiles, params)
     if refine:
         positions, tiles, keys = refine_hot_seeds(
             positions, tiles, params, stats.refine_threshold(params)
         )
+        if not broadcast:
+            most = stats.tile_rows * (params.k + 1)
+            positions = keep_read_keys(positions, tiles, keys, most)
     if salted:
         keys = [*keys, "salt"]
     if broadcast:

@@ -12,6 +12,7 @@ from ..operators.joins import (
     ReadStats,
     approx_substring_join,
     distinct_reads,
+    has_repeated_ids,
     read_stats,
     uses_broadcast,
 )
@@ -47,7 +48,9 @@ def _search(
     sequences: DataFrame, reads: DataFrame, params: AlignParams, edits: bool = False
 ) -> _Search:
     prepared = prepare_reads(reads, params)
-    distinct = distinct_reads(prepared)
+    # Rows that share an id are ranked together, so they must keep it: no copies are combined.
+    repeated = has_repeated_ids(prepared)
+    distinct = prepared.withColumn("copies", F.lit(1)) if repeated else distinct_reads(prepared)
     tiles = packed_read_tiles(distinct, params)
     stats = read_stats(tiles)
     join = gapped_substring_join if params.allow_differences else approx_substring_join
@@ -64,7 +67,8 @@ def align(
     """Every place of every read, on both strands.
 
     ``sequences``: seq_id, seq and, for stored chunks, offset and is_last. ``reads``: read_id
-    (unique) and seq. Result: read_id, ref_id, ref_start, ref_end, differences, is_rc; with
+    and seq; an id that several rows share has the places of all of them, and a place that two
+    of them find counts twice, as a tie. Result: read_id, ref_id, ref_start, ref_end, differences, is_rc; with
     ``edits`` also where the differences are.
     """
     found = _search(sequences, reads, params, edits)

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -33,3 +33,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = _own_folder()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_once(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: what reads it twice does not derive it twice."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -3,13 +3,15 @@ import random
 import pytest
 from model import alignments, gapped, planted, rc, unique
 
-from strandjoin import AlignParams, align, align_best, align_unique
-from strandjoin.operators.joins import distinct_reads, read_stats, salt_heavy_seeds
+from strandjoin import AlignParams, align, align_best, align_unique, run_alignment
+from strandjoin.operators.joins import distinct_reads, keep_read_keys, read_stats, salt_heavy_seeds
 from strandjoin.operators.seeds import packed_read_tiles, packed_reference_seeds
 from strandjoin.operators.sequences import chunk_sequences, prepare_reads
+from strandjoin.sources.alignments import read_alignments
 
 SEQUENCES = "seq_id bigint, seq string"
 READS = "read_id bigint, seq string"
+FIELDS = ("read_id", "ref_id", "ref_start", "ref_end", "differences", "is_rc")
 READ = "ACGTTGCAAGGCTTACCGATAGCATTCGGACTGATC"
 OTHER = "TTGACCATGGCAATCGTCAGGTACCTTAGACCGTAA"
 
@@ -296,3 +298,40 @@ def test_broadcast_only_within_the_size_limit(spark):
 def test_bad_parameters(bad):
     with pytest.raises(ValueError):
         AlignParams(**bad)
+
+
+@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
+def test_repeated_ids_are_ranked_together(spark, tmp_path, strategy):
+    """A place that two rows of an id find is a tie, in the query as in the job."""
+    params = AlignParams(strategy=strategy)
+    refs = [(0, READ + OTHER)]
+    reads = [(7, READ), (7, READ), (8, OTHER), (9, READ), (9, OTHER), (10, READ)]
+    found = run(spark, refs, reads, params, align_unique)
+    assert {(hit[0], hit[2]) for hit in found} == {(8, 36), (10, 0)}
+    run_alignment(*tables(spark, refs, reads), str(tmp_path / "job"), params)
+    assert found == {tuple(r) for r in read_alignments(spark, str(tmp_path / "job")).select(*FIELDS).collect()}
+
+
+@pytest.mark.parametrize("refine", [512, 1])
+def test_places_without_a_matching_key_do_not_reach_the_exchange(spark, refine):
+    params = AlignParams(strategy="shuffle", refine_fanout=refine)
+    sequences, reads = planted(23, n_reads=40)
+    refs, table = tables(spark, sequences, reads)
+    tiles = packed_read_tiles(distinct_reads(prepare_reads(table, params)), params)
+    stats = read_stats(tiles)
+    places = packed_reference_seeds(refs, params)
+    kept = keep_read_keys(places, tiles, ["seed"], stats.seeds, params.key_len)
+    assert 0 < kept.count() == places.join(tiles.select("seed").distinct(), "seed").count() < places.count()
+    hashed = keep_read_keys(places, tiles, ["seed"], stats.seeds)
+    assert kept.count() <= hashed.count() < places.count() and kept.exceptAll(hashed).isEmpty()
+    tree = str(hashed._jdf.queryExecution().executedPlan())
+    assert tree.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in tree
+    assert run(spark, sequences, reads, params) == run(spark, sequences, reads)
+
+
+def test_a_filter_of_too_many_keys_is_left_out(spark):
+    refs, reads = tables(spark, [(0, READ)], [(1, READ)])
+    params = AlignParams()
+    tiles = packed_read_tiles(distinct_reads(prepare_reads(reads, params)), params)
+    places = packed_reference_seeds(refs, params)
+    assert keep_read_keys(places, tiles, ["seed"], 1 << 40) is places
