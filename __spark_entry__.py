@@ -18,6 +18,7 @@ from strandjoin.functions import bases as B  # noqa: E402
 from strandjoin.functions import edits as E  # noqa: E402
 from strandjoin.functions.packing import unpack_seed  # noqa: E402
 from strandjoin.operators import gapped, joins, select, seeds, sequences, verify  # noqa: E402
+from strandjoin.plans.index import align_indexed, build_seed_index, open_seed_index  # noqa: E402
 from strandjoin.sources import alignments as A  # noqa: E402
 from strandjoin.sources import sequences as S  # noqa: E402
 from strandjoin.sources.shared import scratch_path  # noqa: E402
@@ -175,6 +176,21 @@ def align_all_shuffled(spark, sf_dir):
     return align(*_inputs(spark, sf_dir), AlignParams(strategy="shuffle", salt_rows=1024))
 
 
+def align_stored_index(spark, sf_dir):
+    """One stored index, opened by its path and searched with two read sets, neither broadcast."""
+    params = AlignParams(strategy="shuffle", salt_rows=1 << 14)
+    reference, every = _inputs(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    build_seed_index(reference, path, params)
+    index = open_seed_index(spark, path, params)
+    odd = F.shiftright("read_id", fixtures.TILE_BITS) % 2 == 1
+    found = [
+        align_indexed(index, every.where(chosen), params).withColumn("read_set", F.lit(name))
+        for name, chosen in (("odd", odd), ("even", ~odd))
+    ]
+    return found[0].unionByName(found[1])
+
+
 def align_all_refined(spark, sf_dir):
     return align(*_inputs(spark, sf_dir), AlignParams(refine_fanout=1))
 
@@ -362,6 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         k_mismatch_verify,
         align_all_shuffled,
         align_all_refined,
+        align_stored_index,
         align_all_chunked,
         best_hit,
         ambiguous_reads,

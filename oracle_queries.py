@@ -115,6 +115,8 @@ _ALL_HITS = f"WITH {_HITS} SELECT {_HIT_COLUMNS} FROM hits"
 def oracle_sql() -> dict[str, str]:
     return {
         "align_exact": _long_hits(0, 36),
+        "align_stored_index": f"""WITH {_HITS} SELECT {_HIT_COLUMNS},
+            CASE WHEN (read_id // 1048576) % 2 = 1 THEN 'odd' ELSE 'even' END AS read_set FROM hits""",
         "align_long_reads": _long_hits(3, 76),
         "normalize_bases": """
             SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),

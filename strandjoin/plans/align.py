@@ -23,7 +23,7 @@ from ..params import AlignParams
 
 
 @dataclass(frozen=True)
-class _Search:
+class Search:
     """Alignments of distinct read texts, with what is needed to return to all reads."""
 
     reads: DataFrame
@@ -32,6 +32,9 @@ class _Search:
     params: AlignParams
     hits: DataFrame
 
+    def rows(self) -> DataFrame:
+        return self.for_all_reads(self.hits)
+
     def for_all_reads(self, rows: DataFrame) -> DataFrame:
         """Rows of a distinct text, given to each of its copies."""
         if self.stats.max_copies <= 1:
@@ -46,7 +49,7 @@ class _Search:
 
 def _search(
     sequences: DataFrame, reads: DataFrame, params: AlignParams, edits: bool = False
-) -> _Search:
+) -> Search:
     prepared = prepare_reads(reads, params)
     # Rows that share an id are ranked together, so they must keep it: no copies are combined.
     repeated = has_repeated_ids(prepared)
@@ -55,7 +58,7 @@ def _search(
     stats = read_stats(tiles)
     join = gapped_substring_join if params.allow_differences else approx_substring_join
     hits = join(sequences, tiles, params, stats, edits)
-    return _Search(prepared, distinct, stats, params, hits)
+    return Search(prepared, distinct, stats, params, hits)
 
 
 def align(
@@ -71,8 +74,7 @@ def align(
     of them find counts twice, as a tie. Result: read_id, ref_id, ref_start, ref_end, differences, is_rc; with
     ``edits`` also where the differences are.
     """
-    found = _search(sequences, reads, params, edits)
-    return found.for_all_reads(found.hits)
+    return _search(sequences, reads, params, edits).rows()
 
 
 def align_best(
