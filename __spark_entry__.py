@@ -283,6 +283,22 @@ def gapped_edits(spark, sf_dir):
     )
 
 
+def gapped_edit_arrays(spark, sf_dir):
+    """Distances between edits and their codes, gaps included."""
+    found = align(*_inputs(spark, sf_dir), AlignParams(allow_differences=True), edits=True)
+    arrays = E.edit_arrays(F.col("edits"), F.length("read_text"))
+    listed = found.select("read_id", "ref_id", "ref_start", "ref_end", "is_rc", arrays.alias("e"))
+    return listed.select(
+        "read_id",
+        "ref_id",
+        "ref_start",
+        "ref_end",
+        "is_rc",
+        F.array_join("e.dist", ",").alias("dist"),
+        F.array_join("e.what", ",").alias("what"),
+    )
+
+
 def alignments_text(spark, sf_dir):
     return A.alignments_to_text(_align_all(spark, sf_dir), with_read=True)
 
@@ -389,6 +405,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         k_difference_extend,
         align_all_gapped,
         gapped_edits,
+        gapped_edit_arrays,
         alignments_text,
         alignments_text_roundtrip,
         encode_packed,

@@ -106,6 +106,24 @@ flanked AS (
   FROM seeds s JOIN tiles t USING (seed)),
 extended AS (SELECT *, {_extension('tl', 'ql')} AS l, {_extension('tr', 'qr')} AS r FROM flanked)"""
 
+def _trace_step(source: str) -> str:
+    """One edit more: shared bases are passed over, then the first operation that fits is taken."""
+    return f"""SELECT read_id, ref_id, ref_start, ref_end, is_rc, total,
+      CASE WHEN op IS NULL THEN r WHEN op = 1 THEN r1 ELSE substr(r1, 2) END AS r,
+      CASE WHEN op IS NULL THEN w WHEN op = -1 THEN w1 ELSE substr(w1, 2) END AS w,
+      CASE WHEN op IS NULL THEN left_over ELSE left_over - 1 END AS left_over,
+      CASE WHEN op IS NULL THEN dist ELSE list_append(dist, same) END AS dist,
+      CASE WHEN op IS NULL THEN what ELSE list_append(what, op) END AS what
+    FROM (
+      SELECT *, CASE WHEN left_over = 0 THEN NULL
+        WHEN length(r1) > 0 AND length(w1) > 0 AND levenshtein(substr(r1, 2), substr(w1, 2)) = left_over - 1 THEN 0
+        WHEN length(r1) > 0 AND levenshtein(substr(r1, 2), w1) = left_over - 1 THEN -1 ELSE 1 END AS op
+      FROM (SELECT *, substr(r, same + 1) AS r1, substr(w, same + 1) AS w1
+            FROM (SELECT *, CAST(coalesce(list_position(list_transform(range(1, least(length(r), length(w)) + 1),
+                    lambda i: substr(r, i, 1) = substr(w, i, 1)), false) - 1, least(length(r), length(w))) AS BIGINT) AS same
+                  FROM {source})))"""
+
+
 _DIGEST = "CAST(sum(CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)) AS BIGINT)"
 
 _HIT_COLUMNS = "read_id, ref_id, ref_start, ref_end, differences, is_rc"
@@ -221,6 +239,17 @@ def oracle_sql() -> dict[str, str]:
                      CASE WHEN i = len(found_at) THEN 36 ELSE found_at[i + 1] END
                      - CASE WHEN i = 0 THEN 0 ELSE found_at[i] END), ',') AS runs
             FROM found""",
+        "gapped_edit_arrays": f"""
+            WITH {_FLANKED},
+            t0 AS (SELECT DISTINCT read_id, ref_id, pos - l.j AS ref_start, pos + 9 + r.j AS ref_end, is_rc,
+                          reverse(substr(tl, 1, l.j)) || seed || substr(tr, 1, r.j) AS r, reverse(ql) || seed || qr AS w
+                   FROM extended WHERE l.d + r.d <= 3),
+            s0 AS (SELECT *, length(w) AS total, levenshtein(r, w) AS left_over, CAST([] AS BIGINT[]) AS dist,
+                          CAST([] AS INTEGER[]) AS what FROM t0),
+            s1 AS ({_trace_step('s0')}), s2 AS ({_trace_step('s1')}), s3 AS ({_trace_step('s2')})
+            SELECT read_id, ref_id, ref_start, ref_end, is_rc,
+                   array_to_string(list_append(dist, length(w)), ',') AS dist,
+                   array_to_string(list_append(what, 2), ',') AS what FROM s3""",
         "overlap_mismatch": f"""
             WITH {_READS},
             pairs AS (SELECT a.item_id, a.seq AS t, b.seq AS p,

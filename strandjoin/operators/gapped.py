@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packing as P
-from ..functions.edits import k_difference
+from ..functions.diagonals import MAX_WIDTH, digit_planes, extend_side, plane_columns
+from ..functions.edits import k_difference, trace_edits
 from ..params import AlignParams
 from .joins import ReadStats, join_packed_seeds
 from .seeds import packed_reference_seeds
 from .sequences import computed_once
 from .verify import any_of
 
-TRACE_TYPE = "array<struct<pos: int, op: string>>"
 OPERATIONS = ("mismatch", "reference_base", "read_base")
-#: Cells of the cost tables that a task holds at once, of four bytes each.
-TRACE_CELLS = 4_000_000
 
 
 def _probe_size(params: AlignParams) -> int:
@@ -119,6 +116,86 @@ def gapped_candidates(
     )
 
 
+def fits_planes(params: AlignParams) -> bool:
+    """A side of the longest read, with k bases more on either hand, fits a BIGINT."""
+    return params.flank_len + 2 * params.k <= MAX_WIDTH
+
+
+def packed_extensions(
+    sequences: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats
+) -> DataFrame:
+    """Seed hits within k edits, from bit planes: no text is built for a candidate.
+
+    (read_id, is_rc, digits, ref_id, pos, tile, c0.., l_differences, l_aligned, r_differences,
+    r_aligned): the edits on either side of the seed and the bases of the reference they cover.
+    """
+    s, flank, k = params.seed_len, params.flank_len, params.k
+    words = [f"c{i}" for i in range(params.flank_words)]
+    start = F.col("tile") * s
+    left = F.lpad(F.substr("digits", F.lit(1), start), flank, P.PAD_DIGIT)
+    right = F.reverse(F.rpad(F.substr("digits", start + s + 1), flank, P.PAD_DIGIT))
+    planes = {f"{side}_q{i}": p for side, text in (("l", left), ("r", right)) for i, p in enumerate(digit_planes(text))}
+    sided = tiles.select("read_id", "is_rc", "tile", "digits", "seed", *[p.alias(name) for name, p in planes.items()])
+    places = packed_reference_seeds(sequences, params, full_flanks=True)
+    joined = join_packed_seeds(places, sided, params, stats, refine=False)
+    if params.key_len < s:
+        around = joined.select("*", computed_once(P.unpack_frame([F.col(w) for w in words])).alias("around"))
+        same = F.substring("around", flank + 1, s) == F.substr("digits", start + 1, F.lit(s))
+        joined = around.where(same).drop("around")
+    kept = ["read_id", "is_rc", "digits", "ref_id", "pos", "tile", *words, *planes]
+    # What follows reads the join through a generator: its code is not made part of the join's.
+    apart = joined.select(F.inline(F.array(F.struct(*kept))))
+    regions = {"l_t": (0, flank + k, False), "r_t": (flank + s - k, 2 * flank + s + k, True)}
+    found = plane_columns(apart, words, regions)
+    for side in ("l", "r"):
+        names = [[f"{side}_{kind}{i}" for i in range(3)] for kind in ("q", "t")]
+        found = extend_side(found, side, *names, flank, k).drop(*names[0], *names[1])
+    return found.where(F.col("l_differences") + F.col("r_differences") <= k)
+
+
+def _text_extensions(
+    sequences: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats
+) -> DataFrame:
+    """The columns of :func:`placed_extensions` for sides too long for one BIGINT."""
+    extended = extend_both_sides(gapped_candidates(sequences, tiles, params, stats), params)
+    return extended.select(
+        "read_id",
+        "is_rc",
+        "ref_id",
+        "pos",
+        F.col("l.differences").alias("l_differences"),
+        F.col("l.aligned_len").alias("l_aligned"),
+        F.col("r.differences").alias("r_differences"),
+        F.col("r.aligned_len").alias("r_aligned"),
+        P.from_digits(
+            F.concat(
+                F.reverse(F.substr("ref_left", F.lit(1), F.col("l.aligned_len"))),
+                "seed",
+                F.substr("ref_right", F.lit(1), F.col("r.aligned_len")),
+            )
+        ).alias("ref_text"),
+        P.from_digits(F.concat(F.reverse("read_left"), "seed", "read_right")).alias("read_text"),
+    )
+
+
+def placed_extensions(
+    sequences: DataFrame, tiles: DataFrame, params: AlignParams, stats: ReadStats
+) -> DataFrame:
+    """Seed hits within k edits: read_id, is_rc, ref_id, pos, the edits and reach of both sides,
+    ref_text and read_text."""
+    if not fits_planes(params):
+        return _text_extensions(sequences, tiles, params, stats)
+    found = packed_extensions(sequences, tiles, params, stats)
+    around = P.unpack_frame([F.col(f"c{i}") for i in range(params.flank_words)])
+    begin = F.lit(params.flank_len + 1) - F.col("l_aligned")
+    length = F.col("l_aligned") + F.lit(params.seed_len) + F.col("r_aligned")
+    return found.select(
+        "read_id", "is_rc", "ref_id", "pos", "l_differences", "l_aligned", "r_differences", "r_aligned",
+        P.from_digits(F.substr(around, begin, length)).alias("ref_text"),
+        P.from_digits(F.col("digits")).alias("read_text"),
+    )
+
+
 def gapped_substring_join(
     sequences: DataFrame,
     tiles: DataFrame,
@@ -129,52 +206,36 @@ def gapped_substring_join(
     """All places within k edits; one row per (read, strand, start, end), with least edits.
 
     The same place is reached through several tiles and several seed positions, so here the
-    rows are combined by an aggregate instead of by a test on the tiles.
+    rows are combined by an aggregate instead of by a test on the tiles. With ``edits`` also both
+    texts and the list of edits between them.
     """
-    candidates = gapped_candidates(sequences, tiles, params, stats)
-    extended = extend_both_sides(candidates, params)
-    ref_end = F.col("pos") + params.seed_len + F.col("r.aligned_len")
+    extended = placed_extensions(sequences, tiles, params, stats)
+    texts = ["ref_text", "read_text"] if edits else []
     rows = extended.select(
         "read_id",
         "ref_id",
-        (F.col("pos") - F.col("l.aligned_len")).alias("ref_start"),
-        ref_end.alias("ref_end"),
-        (F.col("l.differences") + F.col("r.differences")).alias("differences"),
+        (F.col("pos") - F.col("l_aligned")).alias("ref_start"),
+        (F.col("pos") + params.seed_len + F.col("r_aligned")).alias("ref_end"),
+        (F.col("l_differences") + F.col("r_differences")).alias("differences"),
         "is_rc",
-        *(
-            [
-                P.from_digits(
-                    F.concat(
-                        F.reverse(F.substr("ref_left", F.lit(1), F.col("l.aligned_len"))),
-                        "seed",
-                        F.substr("ref_right", F.lit(1), F.col("r.aligned_len")),
-                    )
-                ).alias("ref_text"),
-                P.from_digits(
-                    F.concat(F.reverse("read_left"), "seed", "read_right")
-                ).alias("read_text"),
-            ]
-            if edits
-            else []
-        ),
+        *texts,
     )
     keys = ["read_id", "ref_id", "ref_start", "ref_end", "is_rc"]
     # Both texts are functions of the key, so any of them will do.
-    texts = [F.min(c).alias(c) for c in ("ref_text", "read_text")] if edits else []
-    best = rows.groupBy(*keys).agg(F.min("differences").alias("differences"), *texts)
+    best = rows.groupBy(*keys).agg(F.min("differences").alias("differences"), *[F.min(c).alias(c) for c in texts])
     columns = ["read_id", "ref_id", "ref_start", "ref_end", "differences", "is_rc"]
     if not edits:
         return best.select(*columns)
-    return trace_edits(best.select(*columns, "ref_text", "read_text"))
+    traced = trace_edits(F.col("ref_text"), F.col("read_text"), params.k)
+    return best.select(*columns, *texts, computed_once(traced).alias("edits"))
 
 
 def edit_tracer() -> Callable:
     """A function of reference and read texts that finds one least-cost set of edits for each.
 
     Of two texts it returns the list of (pos, op); of two lists two tables of (row, step): the read position and the index in OPERATIONS, -1
-    where a step is no edit. All rows of a batch take each step of the table together. The
-    function is nested so that it is shipped to the workers by value and the package need not
-    be installed there.
+    where a step is no edit. All rows of a batch take each step of the table together. For texts in
+    hand; searches trace with :func:`strandjoin.functions.edits.trace_edits`.
     """
 
     names = OPERATIONS
@@ -214,31 +275,3 @@ def edit_tracer() -> Callable:
         return tuple(np.array(x, dtype=np.int32).reshape(shape).T[:, ::-1] for x in (places, operations))
 
     return trace
-
-
-def trace_edits(alignments: DataFrame) -> DataFrame:
-    """Add ``edits``, the list of (pos, op) that lead from ref_text to read_text.
-
-    Built-in functions give distances but no path, so this step runs in Python, in Arrow batches
-    and on verified alignments only. Positions count read bases.
-    """
-    trace, operation_names, cells = edit_tracer(), list(OPERATIONS), TRACE_CELLS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("op", pa.string())]))
-        for batch in batches:
-            texts, patterns = (batch.column(c).to_pylist() for c in ("ref_text", "read_text"))
-            table = (max(map(len, texts), default=0) + 1) * (max(map(len, patterns), default=0) + 1)
-            rows = max(1, cells // table)
-            for first in range(0, len(texts), rows):
-                places, operations = trace(texts[first : first + rows], patterns[first : first + rows])
-                found = operations >= 0
-                ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
-                names = pa.array(operation_names).take(pa.array(operations[found]))
-                each = pa.StructArray.from_arrays([pa.array(places[found]), names], names=["pos", "op"])
-                edits = pa.ListArray.from_arrays(pa.array(ends), each).cast(kind)
-                own = batch.slice(first, rows)
-                yield pa.RecordBatch.from_arrays([*own.columns, edits], names=[*own.schema.names, "edits"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alignments.schema)
-    return alignments.mapInArrow(run, f"{fields}, edits {TRACE_TYPE}")
