@@ -40,6 +40,17 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def numbered_rows(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as a staged table with a column that numbers its rows, and the name of the column.
+
+    The numbers are stored: they stay what they are however a later job splits the table.
+    """
+    column = "_row"
+    while column.lower() in (c.lower() for c in frame.columns):
+        column += "_"
+    return stage(frame.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the staged tables of this shared folder; call it when all results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

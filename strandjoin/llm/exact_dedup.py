@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandjoin.llm.common import stage
+from strandjoin.llm.common import numbered_rows, stage
 
 
 def normalize_space(text: Column) -> Column:
@@ -27,13 +27,17 @@ def normalize_space(text: Column) -> Column:
     )
 
 
-def digest_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One narrow row for each row: its id, run, place and the digest of its normalized text."""
+def digest_rows(docs: DataFrame, doc_id: str, text: str, row: str | None = None) -> DataFrame:
+    """One narrow row for each row: its id, run, place and the digest of its normalized text.
+
+    row: a column that numbers the rows; without one the places of this read do.
+    """
     normal = normalize_space(F.col(text))
+    place = F.monotonically_increasing_id() if row is None else F.col(row)
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.spark_partition_id().alias("run"),
-        F.monotonically_increasing_id().alias("row"),
+        place.alias("row"),
         F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"),
         F.octet_length(normal).cast("long").alias("n_bytes"),
     )
@@ -55,10 +59,10 @@ def merge_round(runs: DataFrame, bits: int) -> DataFrame:
 
 
 def duplicate_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4, row: str | None = None
 ) -> DataFrame:
     """One row for each row of docs: doc_id, row, keep_id, group_size, kept, text_sha256."""
-    rows = stage(digest_rows(docs, doc_id, text), "digests")
+    rows = stage(digest_rows(docs, doc_id, text, row), "digests")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     first_level = rows.groupBy("run", "digest", "n_bytes").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("n")
@@ -83,10 +87,9 @@ def duplicate_groups(
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    docs must be read from files or a table, so that reading it twice deals out rows alike.
+    The rows are numbered in a table of their own, written once, so that a cluster that grows or
+    shrinks in between does not number them anew.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = duplicate_groups(docs, doc_id, text).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept_row"))
-    match = (numbered["_row"] == kept["_kept_row"]) & numbered[doc_id].eqNullSafe(kept["_id"])
-    return numbered.join(kept, match, "left_semi").drop("_row")
+    numbered, row = numbered_rows(docs, "numbered")
+    kept = duplicate_groups(numbered, doc_id, text, row=row).where("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

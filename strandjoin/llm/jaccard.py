@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandjoin.llm.common import stage
+from strandjoin.llm.common import numbered_rows, stage
 from strandjoin.llm.components import components
 from strandjoin.llm.text_bytes import BASE, mix, slices, split_words
 
@@ -481,11 +481,12 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The first row of each component by id, then place, with all its columns; null ids are last.
 
     Rows are told apart by number, so neither null nor repeated ids take other rows with them.
-    docs must be read from files or a table, so that reading it twice deals out rows alike.
+    The numbers are stored with the rows, so that a cluster that grows or shrinks in between does
+    not number them anew.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    numbered, row = numbered_rows(docs, "numbered")
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
     judged = similar_documents(numbered.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **options)
     gone = judged.where(F.col("doc_id.row") != F.col("component_id.row"))
-    gone = stage(gone.select(F.col("doc_id.row").alias("_gone")), "similar")
-    return numbered.join(gone, numbered["_row"] == gone["_gone"], "left_anti").drop("_row")
+    gone = stage(gone.select(F.col("doc_id.row").alias(row)), "similar")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
