@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over the whole documents table, each written and read again."""
+"""The corpus pipeline: stages over the whole documents table, each written and read again.
+
+Defined results: null and empty texts and texts without a letter go in the first stage, unless no
+label is learned, when only a letter is asked for; equal or similar rows are told apart by stored
+row numbers, so null and repeated ids take no other rows with them; ties go to the smallest id,
+null last, then the first row; texts of any length are read whole; other columns, whatever their
+names, are kept until the last stage; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +48,7 @@ STAGES = [
     ("best_fit_packing", best_fit),
 ]
 
-#: The language model and the packing search have no SQL; tests hold them to brute force.
+#: The language model and the packing search have no SQL; tests/llm/test_pipeline.py holds run() to plain Python.
 ORACLE_SQL = None
 
 
