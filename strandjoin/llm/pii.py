@@ -52,8 +52,8 @@ CONTEXT = r"\s([^\s0-9]+)\s+([^\s0-9]+)\s+[^\s]*$"
 MIN_VALUES = 3
 CONFIDENCE = 0.6
 ROUNDS = 3
-#: Contexts up to this count are broadcast; more are joined by shuffle.
-BROADCAST_CONTEXTS = 500_000
+#: Bits of the map of wanted contexts that goes with the scan, seven in a byte.
+WANTED_BITS = 7 << 16
 
 
 def passes_luhn(digits: Column) -> Column:
@@ -158,13 +158,39 @@ def pair_keys(text: Column) -> Column:
     )
 
 
+def wanted_map(contexts: DataFrame, bits: int = WANTED_BITS) -> bytes:
+    """A bit for each hash of a context, seven in a byte; at most bits / 7 rows come to the driver."""
+    slot = F.pmod(F.col("context"), F.lit(bits))
+    set_bits = contexts.select(
+        F.floor(slot / 7).cast("int").alias("at"),
+        F.call_function("shiftleft", F.lit(1), (slot % 7).cast("int")).alias("bit"),
+    )
+    found = bytearray(bits // 7)
+    for row in set_bits.groupBy("at").agg(F.bit_or("bit").alias("byte")).toLocalIterator():
+        found[row["at"]] = row["byte"]
+    return bytes(found)
+
+
+def may_be_wanted(context: Column, wanted: bytes) -> Column:
+    """Whether the map has the bit of a context: true for each wanted one, and for few others."""
+    slot = F.pmod(context, F.lit(len(wanted) * 7))
+    at = F.floor(slot / 7).cast("int")
+    # Seven bits are an ASCII character, so a byte is read as the code of one.
+    byte = F.ascii(F.substr(F.lit(wanted), at + 1, F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, (slot % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def count_contexts(docs: DataFrame, text: str, contexts: DataFrame) -> DataFrame:
-    """context, total: occurrences of the two words anywhere in the corpus."""
-    small = contexts.count() <= BROADCAST_CONTEXTS
-    pairs = docs.select(pair_keys(F.col(text)).alias("pairs"))
-    pairs = pairs.select(F.explode_outer("pairs").alias("context"))
-    found = pairs.join(F.broadcast(contexts) if small else contexts, "context")
-    return found.groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+    """context, total: occurrences of the two words anywhere in the corpus.
+
+    Pairs are counted before they are joined. A map of fixed size leaves nearly only wanted pairs
+    their name; all others are counted as one, under null, and go no further than that.
+    """
+    wanted = wanted_map(contexts)
+    pairs = docs.select(F.explode_outer(pair_keys(F.col(text))).alias("context"))
+    named = F.when(may_be_wanted(F.col("context"), wanted), F.col("context")).alias("context")
+    counted = pairs.select(named).groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+    return counted.join(contexts, "context")
 
 
 def score_contexts(edges: DataFrame, known: DataFrame, totals: DataFrame, confidence: float, min_values: int) -> DataFrame:

@@ -421,3 +421,24 @@ def test_fixity(spark):
     assert same.count() == 0
     back = pages.select(F.coalesce("html", F.lit("")).alias("want"), warc.body(warc.record(F.col("url"), F.col("html"))).alias("got"))
     assert back.where("want <> got").count() == 0
+
+
+@pytest.mark.parametrize("n_wanted", [0, 1, 40, 3000])
+def test_contexts_are_counted_before_they_are_joined(spark, n_wanted):
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(draw.randrange(80))) for _ in range(150)] + ["", "one", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = [p for t in texts for p in itertools.pairwise((t or "").split())]
+    listed = sorted(set(pairs))[:n_wanted] + [("never", "seen")] * bool(n_wanted)
+    names = spark.createDataFrame(listed, "a string, b string").select(pii.context_key(F.col("a"), F.col("b")).alias("context"))
+    found = pii.count_contexts(frame, "text", names)
+    counts = sorted(r["total"] for r in found.collect())
+    assert counts == sorted(pairs.count(p) for p in listed if p != ("never", "seen"))
+    assert pii.wanted_map(names, 7 * 8) != bytes(8) or not n_wanted
+
+
+def test_a_dense_map_changes_no_count(spark, monkeypatch):
+    monkeypatch.setattr(pii, "wanted_map", lambda contexts: bytes([127]) * 4)
+    frame = spark.createDataFrame([("a b a b c",)], "text string")
+    names = spark.createDataFrame([("a", "b")], "a string, b string").select(pii.context_key(F.col("a"), F.col("b")).alias("context"))
+    assert [r["total"] for r in pii.count_contexts(frame, "text", names).collect()] == [2]
