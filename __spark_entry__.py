@@ -200,6 +200,17 @@ def align_all_chunked(spark, sf_dir):
     return align(sequences.chunk_sequences(reference, PARAMS, 2048), reads)
 
 
+def align_mixed_chunks(spark, sf_dir):
+    """Stored chunks of two lengths and overlaps, whose ranges follow from their neighbours."""
+    reference, reads = _inputs(spark, sf_dir)
+    wide = AlignParams(chunk_overlap=1500)
+    by_id = F.col("seq_id") % 2 == 0
+    chunks = sequences.chunk_sequences(reference.where(by_id), PARAMS, 2048).unionByName(
+        sequences.chunk_sequences(reference.where(~by_id), wide, 3000)
+    )
+    return align(sequences.assign_chunk_ranges(chunks, PARAMS), reads)
+
+
 def best_hit(spark, sf_dir):
     return align_best(*_inputs(spark, sf_dir))
 
@@ -396,6 +407,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         align_all_refined,
         align_stored_index,
         align_all_chunked,
+        align_mixed_chunks,
         best_hit,
         ambiguous_reads,
         alignment_count,

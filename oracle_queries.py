@@ -218,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "align_all_shuffled": _ALL_HITS,
         "align_all_refined": _ALL_HITS,
         "align_all_chunked": _ALL_HITS,
+        "align_mixed_chunks": _ALL_HITS,
         "best_hit": f"""
             WITH {_LEVELS} SELECT read_id, differences, n_best, ref_id, ref_start, ref_end, is_rc
             FROM best WHERE rn = 1""",

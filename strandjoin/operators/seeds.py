@@ -31,7 +31,7 @@ def packed_reference_seeds(
         left, words_after = params.left_reach, params.frame_words
     blocks_per_piece = params.piece_len // BASES_PER_WORD
     rows = prepare_sequences(sequences)
-    first, end = owned_seeds(params, F.length("seq"))
+    first, end = owned_seeds(params, F.length("seq"), rows)
     # Padding on the left makes the frame of local position p start at padded index p.
     padded = F.concat(
         F.lit(P.PAD_DIGIT * left),
@@ -158,7 +158,7 @@ def reference_seeds(sequences: DataFrame, params: AlignParams, flanks: bool = Fa
     """
     s, flank, step = params.seed_len, params.flank_len, BASES_PER_WORD
     rows = prepare_sequences(sequences)
-    first, end = owned_seeds(params, F.length("seq"))
+    first, end = owned_seeds(params, F.length("seq"), rows)
     # Spaces stand for "outside of the sequence"; they are trimmed off the flanks.
     padded = F.concat(F.lit(" " * flank), F.col("seq"), F.lit(" " * flank))
     pieces = rows.where(F.length("seq") >= s).select(

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.bases import count_n, normalize_bases, reverse_complement
 from ..params import AlignParams
 
 
+#: Columns of stored chunks that name the seed positions they answer for.
+RANGE_COLUMNS = ("own_start", "own_end")
+
+
 def linear_split(text: Column, step: int, width: int) -> Column:
     """Pieces of ``width`` characters starting every ``step``, found in one pass over the text.
 
@@ -71,23 +76,74 @@ def prepare_reads(reads: DataFrame, params: AlignParams) -> DataFrame:
 
 
 def prepare_sequences(sequences: DataFrame) -> DataFrame:
-    """(seq_id, offset, is_last, seq); without chunk columns every row is a whole sequence."""
+    """(seq_id, offset, is_last, seq); without chunk columns every row is a whole sequence.
+
+    The columns of :func:`assign_chunk_ranges` are kept where the table has them.
+    """
+    ranges = [F.col(c).cast("bigint").alias(c) for c in RANGE_COLUMNS if c in sequences.columns]
     offset = F.col("offset").cast("bigint") if "offset" in sequences.columns else F.lit(0).cast("bigint")
     is_last = F.col("is_last") if "is_last" in sequences.columns else F.lit(True)
     return sequences.select(
         F.col("seq_id").cast("bigint").alias("seq_id"),
         offset.alias("offset"),
         is_last.alias("is_last"),
+        *ranges,
         computed_once(normalize_bases(F.col("seq"))).alias("seq"),
     )
 
 
-def owned_seeds(params: AlignParams, length: Column) -> tuple[Column, Column]:
+def assign_chunk_ranges(chunks: DataFrame, params: AlignParams) -> DataFrame:
+    """Stored chunks with own_start and own_end, the seed positions each answers for, whatever
+    their overlaps.
+
+    Positions are those of the whole sequence. A position goes to the first chunk that holds its
+    seed and the flank behind it; a chunk inside an earlier one owns nothing. Fails with the place
+    where the flanks of a seed lie in no chunk (a gap or too short an overlap), where the first or
+    last chunk is missing, and at a repeated chunk. Only lengths and offsets are ordered, a few
+    numbers for each chunk; store the result, and searches need not look at neighbours.
+    """
+    s, flank = params.seed_len, params.flank_len
+    place = [F.col(c).cast("bigint").alias(c) for c in ("seq_id", "offset")]
+    narrow = chunks.select(*place, "is_last", F.length("seq").cast("bigint").alias("n"))
+    narrow = narrow.groupBy("seq_id", "offset", "n").agg(F.max("is_last").alias("is_last"), F.count(F.lit(1)).alias("rows"))
+    whole = Window.partitionBy("seq_id")
+    earlier = whole.orderBy("offset", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("offset") + F.col("n")
+    placed = narrow.select(
+        "*",
+        F.max(end).over(earlier).alias("reach"),
+        F.max(end).over(whole).alias("stop"),
+        F.max(F.when(F.col("is_last"), end)).over(whole).alias("last_end"),
+    )
+    owned_to = F.when(end == F.col("stop"), end - (s - 1)).otherwise(end - (s - 1) - flank)
+    # What reaches the end of the sequence first owns its last positions too.
+    owned_from = (
+        F.when(F.col("reach").isNull(), F.lit(0).cast("bigint"))
+        .when(F.col("reach") == F.col("stop"), owned_to)
+        .otherwise(F.col("reach") + 1 - flank - s)
+    )
+    where = F.concat(F.lit(" of sequence "), F.col("seq_id").cast("string"), F.lit(" at offset "), F.col("offset").cast("string"))
+    fault = (
+        F.when(F.col("rows") > 1, "repeated chunk")
+        .when(F.col("reach").isNull() & (F.col("offset") != 0), "missing first chunk, found one")
+        .when(F.col("reach") < F.col("offset") + 2 * flank + s - 1, "gap or short overlap before the chunk")
+        .when(F.col("last_end").isNull() | (F.col("last_end") < F.col("stop")), "missing last chunk, seen from the one")
+    )
+    checked = F.when(fault.isNull(), owned_from).otherwise(F.raise_error(F.concat(fault, where)).cast("bigint"))
+    ranges = placed.select("seq_id", "offset", "n", checked.alias("own_start"), F.greatest(owned_to, owned_from).alias("own_end"))
+    kept = chunks.drop(*RANGE_COLUMNS).select("*", F.length("seq").cast("bigint").alias("n"))
+    return kept.join(ranges, ["seq_id", "offset", "n"]).drop("n").select(*chunks.drop(*RANGE_COLUMNS).columns, *RANGE_COLUMNS)
+
+
+def owned_seeds(params: AlignParams, length: Column, sequences: DataFrame | None = None) -> tuple[Column, Column]:
     """Half-open range of local seed positions that a stored chunk answers for.
 
     Neighbouring chunks share ``chunk_overlap`` bases. A seed belongs to the one chunk that
     also holds both of its flanks, so every position of a sequence is produced exactly once.
+    ``sequences`` that carry the ranges of :func:`assign_chunk_ranges` are taken by those.
     """
+    if sequences is not None and set(RANGE_COLUMNS) <= set(sequences.columns):
+        return tuple(F.col(c) - F.col("offset") for c in RANGE_COLUMNS)
     first = F.when(F.col("offset") == 0, 0).otherwise(
         params.chunk_overlap + 1 - params.flank_len - params.seed_len
     )
