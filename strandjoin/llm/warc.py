@@ -1,16 +1,21 @@
 """WARC records and their fixity audit by Merkle trees.
 
 Records stand in a fixed order; a record's offset is the sum of the lengths before it. A leaf of
-the tree is the hash of a record with its offset range; a node is the hash of its up to 16
-children and their range. Two replicas are compared root first, and only below nodes that differ
-does the audit go down a level, until it names the damaged records and their ranges.
+the tree is the hash of a record, its id and its length, with its offset range beside it; a node is
+the hash of its up to 16 children and the length of their range, so that a record that grows does
+not change the hashes of those after it. Two replicas are compared root first, and only below nodes
+that differ does the audit go down a level. There records with equal id and hash are partners,
+wherever an inserted or lost record has shifted them to; what has no partner is damaged, and a
+record of the same id on the other side is reported with it.
 
 DataFrame functions only. Places come from range partitions: each counts and sums its own rows,
 and the sums of the partitions before it are added, so that no task orders all records.
 
 Defined results: null html is an empty body, a null url an empty target; a null id stands first;
 rows that repeat an id keep a record each, ordered by url and content; replicas of different
-length differ where one has no record. An empty table has no tree and no differences.
+length differ where one has no record. An empty body is a record of its header; a body of any
+length is hashed whole. Of equal records with one id the last ones count as lost or added. An empty
+table has no tree and no differences. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,7 +78,7 @@ def place_records(records: DataFrame, order: list[str]) -> DataFrame:
         (F.col("n0") + F.col("row") - F.col("row0")).alias("place"),
         begin.alias("begin"),
         end.alias("end"),
-        F.sha2(F.concat_ws(":", "own", begin, end), 256).alias("hash"),
+        F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "own", "length"), 256).alias("hash"),
     )
 
 
@@ -86,7 +91,7 @@ def node_level(children: DataFrame, bits: int = FAN_BITS) -> DataFrame:
     return up.groupBy(F.col("up").alias("place")).agg(
         F.min("begin").alias("begin"),
         F.max("end").alias("end"),
-        F.sha2(F.concat_ws("|", F.array_join(joined, "|"), F.min("begin"), F.max("end")), 256).alias("hash"),
+        F.sha2(F.concat_ws("|", F.array_join(joined, "|"), F.max("end") - F.min("begin")), 256).alias("hash"),
     )
 
 
@@ -100,6 +105,27 @@ def merkle_tree(leaves: DataFrame, bits: int = FAN_BITS) -> list[DataFrame]:
     return levels
 
 
+def match_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Leaves without a partner of their id and hash, with the one of that id on the other side.
+
+    place is the left one, or the right one's where the left has none.
+    """
+    sides = []
+    for name, leaves in (("left", left), ("right", right)):
+        same = Window.partitionBy("id", "hash").orderBy("place")
+        sides.append(leaves.select("id", "place", "begin", "end", "hash", F.row_number().over(same).alias("nth"), F.lit(name).alias("side")))
+    both = sides[0].unionByName(sides[1])
+    # A partner has the same id, hash and number: the two rows cancel out.
+    met = both.groupBy("id", "hash", "nth").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("side", "place", "begin", "end")).alias("only"))
+    alone = met.where("n = 1").select("id", "hash", "only.*")
+    nth = F.row_number().over(Window.partitionBy("id", "side").orderBy("place"))
+    alone = alone.withColumn("nth", nth)
+    at = lambda side: F.max(F.when(F.col("side") == side, F.struct("id", "begin", "end", "hash", "place")))
+    paired = alone.groupBy("id", "nth").agg(at("left").alias("l"), at("right").alias("r"))
+    columns = [F.col(f"{side[0]}.{c}").alias(f"{side}_{c}") for side in ("left", "right") for c in ("id", "begin", "end", "hash")]
+    return paired.select(F.coalesce("l.place", "r.place").alias("place"), *columns)
+
+
 def audit(left: list[DataFrame], right: list[DataFrame], bits: int = FAN_BITS) -> DataFrame:
     """Leaves that differ: place, and id, begin, end, hash on the left and on the right."""
     height = max(len(left), len(right))
@@ -111,11 +137,11 @@ def audit(left: list[DataFrame], right: list[DataFrame], bits: int = FAN_BITS) -
             ups = wrong.select(F.col("place").alias("up"))
             a = a.join(ups, F.shiftright(a["place"], bits) == F.col("up"), "left_semi")
             b = b.join(ups, F.shiftright(b["place"], bits) == F.col("up"), "left_semi")
-        kept = ["id", "begin", "end", "hash"] if level == 0 else ["hash"]
-        a = a.select("place", *[F.col(c).alias(f"left_{c}") for c in kept])
-        b = b.select("place", *[F.col(c).alias(f"right_{c}") for c in kept])
+        if level == 0:
+            return match_leaves(a, b)
+        a = a.select("place", F.col("hash").alias("left_hash"))
+        b = b.select("place", F.col("hash").alias("right_hash"))
         both = a.join(b, "place", "full_outer")
         wrong = both.where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
-        if level:
-            wrong = stage(wrong.select("place"), f"wrong-{level}")
+        wrong = stage(wrong.select("place"), f"wrong-{level}")
     return wrong

@@ -442,3 +442,31 @@ def test_a_dense_map_changes_no_count(spark, monkeypatch):
     frame = spark.createDataFrame([("a b a b c",)], "text string")
     names = spark.createDataFrame([("a", "b")], "a string, b string").select(pii.context_key(F.col("a"), F.col("b")).alias("context"))
     assert [r["total"] for r in pii.count_contexts(frame, "text", names).collect()] == [2]
+
+
+def replica(spark, rows):
+    records = spark.createDataFrame(rows, "id long, url string, html string, end string")
+    placed = warc.place_records(records.select("id", "url", warc.record(F.col("url"), F.col("html")).alias("record")), ["id", "url"])
+    return warc.merkle_tree(placed, bits=2)
+
+
+def test_fixity_names_exactly_the_damaged_records(spark):
+    rows = [(i, f"u{i}", "x" * (i % 7) + str(i % 5), "e") for i in range(90)] + [(None, None, None, "e"), (5, "u5", "again", "e")]
+    good = replica(spark, rows)
+    changed = {3: "longer than before", 40: "", 89: "?"}
+    bad = [(i, u, changed.get(i, t), e) for i, u, t, e in rows if i != 20] + [(200, "new", "new", "e"), (11, "u11", "1", "e")]
+    bad = [r for r in bad if r[:3] != (5, "u5", "again")]
+    found = warc.audit(good, replica(spark, bad), bits=2).collect()
+    ids = sorted((r.left_id, r.right_id) if r.left_id is not None and r.right_id is not None else (r.left_id or -1, r.right_id or -1) for r in found)
+    # 11 is there twice now, of which one has no partner; 20 and the second 5 are lost, 200 is new.
+    assert ids == sorted([(3, 3), (40, 40), (89, 89), (20, -1), (5, -1), (-1, 200), (-1, 11)])
+    lengths = {r.left_id: (r.left_end - r.left_begin, r.right_end - r.right_begin) for r in found if r.left_id in (3, 40)}
+    assert lengths[3][1] > lengths[3][0] and lengths[40][1] < lengths[40][0]
+    assert warc.audit(good, replica(spark, rows[::-1]), bits=2).count() == 0
+
+
+def test_fixity_of_empty_replicas(spark):
+    rows = [(1, "u", "a", "e"), (2, "u", None, "e")]
+    empty = replica(spark, [])
+    assert warc.audit(empty, empty, bits=2).count() == 0
+    assert sorted(r.left_id for r in warc.audit(replica(spark, rows), empty, bits=2).collect()) == [1, 2]
