@@ -28,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The subfolder of the shared folder that holds this application's tables alone."""
+    return f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
 def stage(frame: DataFrame, name: str) -> DataFrame:
     """The frame written as a table to the shared folder and read again.
 
@@ -35,7 +40,7 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     until drop_stages(); a result that is still to be read may need them.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -52,11 +57,9 @@ def numbered_rows(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def drop_stages(spark: SparkSession) -> None:
-    """Delete the staged tables of this shared folder; call it when all results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "stage-*")) or []:
-        files.delete(status.getPath(), True)
+    """Delete the tables this application staged; call it when all results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import brute_hits, lower
 
-from strandjoin.llm import exact_dedup, jaccard
+from strandjoin.llm import common, exact_dedup, jaccard
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row string"
 LEAVES = "spark.sql.leafNodeDefaultParallelism"
@@ -129,3 +129,12 @@ def test_rows_stay_when_the_number_of_cores_changes(spark, sf_dir, later):
     finally:
         for name in (LEAVES, "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"):
             spark.conf.unset(name)
+
+
+def test_staged_tables_are_deleted_by_their_owner(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    (tmp_path / "staged-other").mkdir()
+    assert common.stage(spark.range(3), "x").count() == 3
+    assert len(list(tmp_path.iterdir())) == 2
+    common.drop_stages(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["staged-other"]
