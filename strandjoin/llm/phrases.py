@@ -4,12 +4,12 @@ Texts in lower case (A-Z) are cut into pieces at punctuation and line ends, piec
 candidate is a phrase of 2 to 5 words that occurs MIN_COUNT times in its language.
 
 1. Words are counted for each language, exactly, by word.
-2. Level by level, phrases whose first and last k - 1 words may be frequent are counted by a 64-bit
-   hash. A hash counts at least as much as each of its phrases, so no frequent phrase is lost
-   (the Apriori rule and the hash only let more through). The frequent hashes of a level become a
-   bitmap of fixed size, by which the next level is filtered in the scan.
-3. The texts of what passed are gathered, once for each task, and dealt to tries of at most about
-   TRIE_PHRASES candidates. A trie is a double array over words, first the language, then the
+2. Level by level, phrases whose first and last k - 1 words may be frequent are counted by two 64-bit
+   hashes, of their first k - 1 words and of their last. A hash counts at least as much as each of
+   its phrases, so no frequent phrase is lost (the Apriori rule and the hashes only let more
+   through). The frequent hashes of a level become a bitmap of fixed size, by which the next
+   level is filtered in the scan; joined to the level below and to the words they become texts.
+3. These candidates are dealt to tries of about TRIE_PHRASES. A trie is a double array over words, first the language, then the
    words. It is broadcast; NumPy advances the states of all positions of a slice of texts
    together, a word at a time, and counts the accepting states. Each task's counts are summed.
 
@@ -24,6 +24,7 @@ empty table gives no rows; other columns are not read. A very long text is one s
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,10 +43,12 @@ LONGEST = 5
 TOP = 2000
 #: Candidates of one trie, on average; their shares follow a hash.
 TRIE_PHRASES = 250_000
+#: Counts of a trie that travel and are summed together, and groups of tasks that are summed first.
+BLOCK, LANES = 4096, 64
 #: Bits of the bitmap of frequent hashes, as a power of two: 4 MB.
 FILTER_BITS = 25
-#: Entries a task holds before it hands them on.
-HELD = 1_000_000
+#: Words or places that a task holds before it hands them on.
+HELD = 2_000_000
 #: The characters that end a piece, and those between words.
 ENDS, BETWEEN = ".,;:!?\n\x0b\x0c\r", " \t"
 PLAIN = bytes.maketrans((UPPER + ENDS).encode(), (LOWER + "\n" * len(ENDS)).encode())
@@ -93,7 +96,7 @@ class Slice:
         found = [single]
         for k in range(2, longest + 1):
             n = max(0, len(single) - k + 1)
-            found.append(mix(found[-1][:n] * np.uint64(0xD1342543DE82EF95) + single[k - 1 : k - 1 + n]))
+            found.append(next_key(found[-1][:n], single[k - 1 : k - 1 + n]))
         return found
 
 
@@ -160,62 +163,64 @@ def bitmap_of(keys: DataFrame, width: int = FILTER_BITS) -> np.ndarray:
     return found
 
 
+def next_key(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of a phrase from that of its words but the last and that of the last word."""
+    return mix(prefix * np.uint64(0xD1342543DE82EF95) + last)
+
+
 def possible_phrases(read: DataFrame, k: int, shorter: np.ndarray, min_count: int, width: int = FILTER_BITS) -> DataFrame:
-    """key: hashes that phrases of k words have min_count times, both of whose parts may be frequent."""
+    """key, prefix, last: hashes that phrases of k words have min_count times or more.
+
+    prefix is the hash of the first k - 1 words, last that of the last word. Only phrases both of
+    whose parts of k - 1 words may be frequent are counted.
+    """
     known = read.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            keys, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate([h[1] for h in held]), minlength=len(keys)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            prefix, last = (np.concatenate([h[i] for h in held]) for i in range(2))
+            _, first, place, n = np.unique(next_key(prefix, last), return_index=True, return_inverse=True, return_counts=True)
+            # Different pairs of one hash would be counted as one: then each stays by itself.
+            if not ((prefix == prefix[first][place]) & (last == last[first][place])).all():
+                first, n = np.arange(len(prefix)), np.ones(len(prefix), dtype=np.int64)
+            columns = [pa.array(prefix[first].view(np.int64)), pa.array(last[first].view(np.int64)), pa.array(n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["prefix", "last", "n"])
 
         for part in _slices(batches):
-            hashes = part.hashes(k)
-            likely = in_bitmap(known.value, hashes[k - 2], width)
-            likely[: len(part.same_piece(k - 1))] &= part.same_piece(k - 1)
-            chosen = part.same_piece(k) & likely[:-1] & likely[1:] if len(likely) > 1 else np.zeros(0, dtype=bool)
-            keys, n = np.unique(hashes[k - 1][chosen], return_counts=True)
-            held.append((keys, n))
-            size += len(keys)
+            hashes = part.hashes(k - 1)
+            likely = in_bitmap(known.value, hashes[k - 2], width) & part.same_piece(k - 1)
+            whole = part.same_piece(k)
+            chosen = np.flatnonzero(whole & likely[: len(whole)] & likely[1 : 1 + len(whole)])
+            held.append((hashes[k - 2][chosen], hashes[0][chosen + k - 1]))
+            size += len(chosen)
             if size > HELD:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    counted = read.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= min_count).select("key")
+    counted = read.mapInArrow(run, "prefix bigint, last bigint, n bigint").groupBy("prefix", "last")
+    frequent = counted.agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("prefix", "last")
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, last = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(next_key(prefix, last).view(np.int64)), *batch.columns], names=["key", "prefix", "last"])
 
-def phrase_texts(read: DataFrame, bitmaps: list[np.ndarray], width: int = FILTER_BITS) -> DataFrame:
-    """key, lang, phrase: what stands at places whose hash is in the bitmap of its length.
+    return frequent.mapInArrow(name, "key bigint, prefix bigint, last bigint")
 
-    bitmaps: of 2, 3, ... words.
-    """
-    known = read.sparkSession.sparkContext.broadcast(bitmaps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for part in _slices(batches):
-            hashes, words, rows = part.hashes(len(known.value) + 1), part.words(), []
-            for k, bits in enumerate(known.value, 2):
-                at = np.flatnonzero(part.same_piece(k) & in_bitmap(bits, hashes[k - 1], width))
-                keys, first = np.unique(hashes[k - 1][at], return_index=True)
-                for key, i in zip(keys.view(np.int64).tolist(), at[first].tolist()):
-                    if key not in seen:
-                        seen.add(key)
-                        rows.append((key, part.langs[part.lang[i]], b" ".join(words[i : i + k])))
-            if len(seen) > HELD:
-                seen = set()
-            kinds = (pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "lang", "phrase"]
-            )
+def phrase_texts(level: DataFrame, shorter: DataFrame, words: DataFrame) -> DataFrame:
+    """key, lang, phrase of a level. shorter, words: key, lang, phrase of the level below and of words.
 
-    return read.mapInArrow(run, "key bigint, lang string, phrase binary")
+    Where different texts share a hash, all their combinations come out; the exact counts decide.
+    """
+    first = shorter.select(F.col("key").alias("prefix"), "lang", F.col("phrase").alias("first"))
+    rest = words.select(F.col("key").alias("last"), "lang", F.col("phrase").alias("rest"))
+    met = level.join(first, "prefix").join(rest, ["last", "lang"])
+    return met.select("key", "lang", F.concat_ws(" ", "first", "rest").alias("phrase"))
 
 
 class Trie:
@@ -242,16 +247,14 @@ class Trie:
             ends[node] = number
         symbols = len(self.words) + len(self.langs) + 1
         size = 2 * (nodes + symbols) + 1
-        base, check = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
         state = np.zeros(nodes, dtype=np.int64)
-        # Parents have lower numbers than children, so a node's own state is known when it is placed.
-        check[0] = 0
         free, draw = 1, np.random.default_rng(0)
         parents = np.zeros(nodes, dtype=np.int64)
         for node, row in children.items():
             parents[list(row.values())] = node
         bases = np.zeros(nodes, dtype=np.int64)
-        taken = check >= 0
+        taken = np.zeros(size, dtype=bool)
+        taken[0] = True
         # The widest nodes choose first, while there is room.
         for node in sorted(children, key=lambda x: -len(children[x])):
             row = np.fromiter(children[node], dtype=np.int64, count=len(children[node]))
@@ -271,18 +274,29 @@ class Trie:
             bases[node] = begin - row[0]
             for symbol in row.tolist():
                 state[children[node][symbol]] = begin + symbol - row[0]
-        base, check = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
+        base, check = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32)
         base[state] = bases
         check[state[1:]] = state[parents[1:]]
-        self.base, self.check, self.accepts = base, check, np.full(size, -1, dtype=np.int64)
+        self.base, self.check, self.accepts = base, check, np.full(size, -1, dtype=np.int32)
         for node, number in ends.items():
             self.accepts[state[node]] = number
-        # A leaf has no children, whatever stands where its base would lead.
         self.size, self.count = size, len(phrases)
 
+    def __getstate__(self) -> tuple:
+        """Most cells are empty, so the arrays travel packed: some MB pass through the driver."""
+        arrays = [zlib.compress(a.tobytes(), 1) for a in (self.base, self.check, self.accepts)]
+        return b" ".join(self.words), list(self.langs), self.count, arrays
+
+    def __setstate__(self, state: tuple) -> None:
+        words, langs, self.count, arrays = state
+        self.words = {w: i for i, w in enumerate(words.split(b" ") if words else [], 1)}
+        self.langs = {lang: i for i, lang in enumerate(langs, len(self.words) + 1)}
+        self.base, self.check, self.accepts = (np.frombuffer(zlib.decompress(a), dtype=np.int32) for a in arrays)
+        self.size = len(self.base)
+
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The next state of each, -1 where there is none."""
-        at = self.base[states] + symbols
+        at = self.base[states].astype(np.int64) + symbols
         inside = (states >= 0) & (symbols > 0) & (at >= 0) & (at < self.size)
         at[~inside] = 0
         return np.where(inside & (at > 0) & (self.check[at] == states), at, -1)
@@ -318,7 +332,7 @@ def count_phrases(read: DataFrame, phrases: DataFrame, longest: int, trie_phrase
     shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, shards))).alias("shard")
 
     def build(table: pa.Table) -> pa.Table:
-        listed = sorted(zip(table.column("lang").to_pylist(), table.column("phrase").to_pylist()))
+        listed = sorted((lang, p.encode()) for lang, p in zip(table.column("lang").to_pylist(), table.column("phrase").to_pylist()))
         return pa.table({"shard": table.column("shard")[:1], "listed": [pickle.dumps(listed)], "trie": [pickle.dumps(Trie(listed))]})
 
     tries = phrases.select(shard, "lang", "phrase").groupBy("shard").applyInArrow(build, "shard bigint, listed binary, trie binary")
@@ -326,11 +340,13 @@ def count_phrases(read: DataFrame, phrases: DataFrame, longest: int, trie_phrase
     counted = None
     for number in range(shards):
         row = tries.where(F.col("shard") == number).select("trie").first()
-        if row is None:
+        if row is None:  # by chance no phrase has this share
             continue
         own = _count_by_trie(spark, read, bytes(row["trie"]), longest).withColumn("shard", F.lit(number))
-        own = stage(own.groupBy("shard", "number").agg(F.sum("n").alias("n")), f"counts-{number}")
+        own = stage(own, f"counts-{number}")
         counted = own if counted is None else counted.unionByName(own)
+    if counted is None and shards:
+        raise RuntimeError("the tries of the candidates are missing")
     if counted is None:
         return phrases.select("lang", "phrase", F.lit(0).cast("bigint").alias("n")).limit(0)
 
@@ -340,26 +356,39 @@ def count_phrases(read: DataFrame, phrases: DataFrame, longest: int, trie_phrase
                 rows = pickle.loads(packed)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([at] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64()),
-                     pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],
+                     pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].decode() for r in rows], pa.string())],
                     names=["shard", "number", "lang", "phrase"],
                 )
 
-    names = tries.select("shard", "listed").mapInArrow(listing, "shard int, number bigint, lang string, phrase binary")
+    names = tries.select("shard", "listed").mapInArrow(listing, "shard int, number bigint, lang string, phrase string")
     return names.join(counted, ["shard", "number"]).select("lang", "phrase", "n")
 
 
 def _count_by_trie(spark: SparkSession, read: DataFrame, packed: bytes, longest: int) -> DataFrame:
+    """number, n: every task's counts in blocks of BLOCK, summed by groups of tasks, then in all."""
     held = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = pickle.loads(held.value)
-        total = np.zeros(trie.count, dtype=np.int64)
+        total = np.zeros(-(-trie.count // BLOCK) * BLOCK, dtype=np.int64)
         for part in _slices(batches):
-            total += trie.counts(part, longest)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["number", "n"])
+            total[: trie.count] += trie.counts(part, longest)
+        blocks = total.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        ends = pa.array(np.arange(len(used) + 1, dtype=np.int32) * BLOCK)
+        counts = pa.ListArray.from_arrays(ends, pa.array(blocks[used].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), counts], names=["block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, BLOCK)
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([rows.sum(axis=0)], pa.list_(pa.int64()))})
 
-    return read.mapInArrow(run, "number bigint, n bigint")
+    fields = "block int, counts array<bigint>"
+    parts = read.mapInArrow(run, fields).withColumn("lane", F.spark_partition_id() % LANES)
+    lanes = parts.groupBy("block", "lane").applyInArrow(add, fields)
+    whole = lanes.groupBy("block").applyInArrow(add, fields)
+    each = whole.select("block", F.posexplode("counts").alias("at", "n")).where("n > 0")
+    return each.select((F.col("block").cast("bigint") * BLOCK + F.col("at")).alias("number"), "n")
 
 
 def word_slice(words: Column, begin: Column | int, n: Column | int) -> Column:
@@ -417,24 +446,23 @@ def mine_phrases(
     read = _read(docs, text, lang)
     counted = stage(count_words(read), "words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = counted.where(F.col("n") >= min_count)
-    bitmaps, levels = [bitmap_of(frequent.select("key"), filter_bits)], []
+    frequent = counted.where(F.col("n") >= min_count).select("key", "lang", F.col("word").cast("string").alias("phrase"), "n")
+    words = shorter = frequent.drop("n")
+    bitmap, levels = bitmap_of(frequent.select("key"), filter_bits), []
     for k in range(2, longest + 1):
-        found = stage(possible_phrases(read, k, bitmaps[-1], min_count, filter_bits), f"hashes-{k}")
-        bitmaps.append(bitmap_of(found, filter_bits))
-        levels.append(found.withColumn("k", F.lit(k)))
-        if not bitmaps[-1].any():
+        found = stage(possible_phrases(read, k, bitmap, min_count, filter_bits), f"hashes-{k}")
+        shorter = stage(phrase_texts(found, shorter, words), f"texts-{k}")
+        levels.append(shorter.select("lang", "phrase"))
+        bitmap = bitmap_of(found.select("key"), filter_bits)
+        if not bitmap.any():
             break
-    possible = levels[0]
+    candidates = levels[0]
     for more in levels[1:]:
-        possible = possible.unionByName(more)
-    texts = phrase_texts(read, bitmaps[1:], filter_bits).groupBy("lang", "phrase").agg(F.first("key").alias("key"))
-    texts = texts.withColumn("k", F.size(F.split(F.col("phrase").cast("string"), " ")))
-    candidates = stage(texts.join(possible, ["key", "k"], "left_semi").select("lang", "phrase"), "candidates")
+        candidates = candidates.unionByName(more)
+    candidates = stage(candidates.distinct(), "candidates")
     exact = count_phrases(read, candidates, longest, trie_phrases).where(F.col("n") >= min_count)
-    counts = stage(exact.select("lang", F.col("phrase").cast("string").alias("phrase"), "n"), "counts")
-    words = frequent.select("lang", F.col("word").cast("string").alias("word"), "n")
-    scored = score_phrases(counts, words, totals)
+    counts = stage(exact, "counts")
+    scored = score_phrases(counts, frequent.select("lang", F.col("phrase").alias("word"), "n"), totals)
     kept = scored.join(inside_longer(counts), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order))
