@@ -20,6 +20,7 @@ from strandjoin.functions.packing import unpack_seed  # noqa: E402
 from strandjoin.operators import gapped, joins, select, seeds, sequences, verify  # noqa: E402
 from strandjoin.plans.index import align_indexed, build_seed_index, open_seed_index  # noqa: E402
 from strandjoin.sources import alignments as A  # noqa: E402
+from strandjoin.sources import sequence_files as Q  # noqa: E402
 from strandjoin.sources import sequences as S  # noqa: E402
 from strandjoin.sources.shared import scratch_path  # noqa: E402
 
@@ -343,6 +344,20 @@ def alignments_packed_roundtrip(spark, sf_dir):
     return A.alignments_from_packed(A.alignments_to_packed(_align_all(spark, sf_dir)))
 
 
+def sequence_files_roundtrip(spark, sf_dir):
+    """Written as sequence files by the data source and read again in splits of a megabyte."""
+    path = scratch_path(spark, "sequence-files")
+    Q.save_sequence_files(S.encode_packed(fixtures.reference(spark, sf_dir)), path)
+    return S.decode_packed(Q.scan_sequence_files(spark, path, 1 << 20))
+
+
+def alignment_files_roundtrip(spark, sf_dir):
+    """The 17-byte records of all alignments, written as sequence files and read again."""
+    path = scratch_path(spark, "alignment-files")
+    Q.save_sequence_files(A.alignments_to_packed(_align_all(spark, sf_dir)), path)
+    return A.alignments_from_packed(Q.scan_sequence_files(spark, path))
+
+
 def alignments_write_read(spark, sf_dir):
     path = scratch_path(spark, "alignments")
     A.write_alignments(_align_all(spark, sf_dir), path)
@@ -425,6 +440,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packed_files_roundtrip,
         alignments_packed,
         alignments_packed_roundtrip,
+        sequence_files_roundtrip,
+        alignment_files_roundtrip,
         alignments_write_read,
         complete_job,
         align_exact,

@@ -297,6 +297,9 @@ def oracle_sql() -> dict[str, str]:
                    || lpad(upper(to_hex(ref_end)), 8, '0') || lpad(upper(to_hex(differences)), 8, '0')
                    AS value FROM hits""",
         "alignments_packed_roundtrip": _ALL_HITS,
+        "sequence_files_roundtrip": f"""
+            WITH {_REF} SELECT seq_id, CAST(0 AS BIGINT) AS "offset", true AS is_last, seq FROM ref""",
+        "alignment_files_roundtrip": _ALL_HITS,
         "alignments_write_read": _ALL_HITS,
         "complete_job": f"""
             WITH {_LEVELS}
