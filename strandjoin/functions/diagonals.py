@@ -14,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BASES_PER_WORD
+from .generated import in_own_method
 
 # Most bases of a side, with those that a diagonal can be off on either hand; two bits stay free.
 MAX_WIDTH = 62
 # Translations of octal digits to the bits of each plane.
 PLANES = ("01010101", "00110011", "00001111")
-# A row that no path reaches.
-NOWHERE = -1_000
+# A row that no path reaches; it stays negative after k steps.
+NOWHERE = -100_000
+# Stands for more than k edits.
+BEYOND = -1
 # Steps that gather every third bit of 63 at the low end: distance and mask.
 _GATHER = (
     (2, 0x10C30C30C30C30C3),
@@ -57,7 +60,8 @@ def _and(value: Column, mask: int) -> Column:
 
 def digit_planes(digits: Column) -> list[Column]:
     """The three bit planes of at most 63 octal digits, the last digit lowest."""
-    return [F.conv(F.translate(digits, "01234567", p), 2, 10).cast("bigint") for p in PLANES]
+    planes = [F.conv(F.translate(digits, "01234567", p), 2, 10).cast("bigint") for p in PLANES]
+    return [F.coalesce(p, F.lit(0).cast("bigint")) for p in planes]
 
 
 def plane_columns(frame: DataFrame, words: list[str], regions: dict[str, tuple[int, int, bool]]) -> DataFrame:
@@ -84,7 +88,7 @@ def plane_columns(frame: DataFrame, words: list[str], regions: dict[str, tuple[i
                     parts.append(_left(value, shift) if shift >= 0 else _right(value, -shift))
             whole = reduce(lambda a, b: a.bitwiseOR(b), parts)
             planes[f"{name}{p}"] = _and(whole, (1 << (end - first)) - 1)
-    frame = frame.withColumns(planes).drop(*bits)
+    frame = in_own_method(frame.withColumns(planes).drop(*bits))
     turned = [f"{name}{p}" for name, (_, _, backward) in regions.items() if backward for p in range(3)]
     for distance, mask in _REVERSE if turned else ():
         frame = frame.withColumns(
@@ -94,7 +98,7 @@ def plane_columns(frame: DataFrame, words: list[str], regions: dict[str, tuple[i
             }
         )
     widths = {f"{name}{p}": 64 - end + first for name, (first, end, _) in regions.items() for p in range(3)}
-    return frame.withColumns({c: _right(F.col(c), widths[c]) for c in turned})
+    return in_own_method(frame.withColumns({c: _right(F.col(c), widths[c]) for c in turned}))
 
 
 def zeros_below(value: Column) -> Column:
@@ -103,7 +107,7 @@ def zeros_below(value: Column) -> Column:
 
 
 def extend_side(frame: DataFrame, name: str, pattern: list[str], text: list[str], width: int, k: int) -> DataFrame:
-    """Add `{name}_differences` and `{name}_aligned`, and drop rows beyond k edits.
+    """Add `{name}_differences` and `{name}_aligned`, drop the planes, and rows beyond k edits.
 
     pattern: planes of ``width`` bases, padding behind its end, first base lowest. text: planes of
     width + 2k bases whose base k is the first. The text ends at its first padding. Least edits
@@ -129,8 +133,14 @@ def extend_side(frame: DataFrame, name: str, pattern: list[str], text: list[str]
             **masks,
         }
     )
+    # The last row of each diagonal, or NOWHERE if it has none.
+    last = {f"{name}_y{d + k}": F.least(m, n - d) for d in range(-k, k + 1)}
+    last = {c: F.when(end < 0, NOWHERE).otherwise(end) for c, end in last.items()}
+    frame = in_own_method(frame.drop(*pattern, *text, f"{name}_end", f"{name}_stop").withColumns(last).drop(f"{name}_n"))
     row = lambda e, d: F.col(f"{name}_{e}_{d + k}")
     for e in range(k + 1):
+        if e > 1:
+            frame = in_own_method(frame)
         begin = {}
         for d in range(-e, e + 1):
             if e == 0:
@@ -141,21 +151,21 @@ def extend_side(frame: DataFrame, name: str, pattern: list[str], text: list[str]
                 before += [row(e - 1, d - 1)] if inside(d - 1) else []
                 before += [row(e - 1, d + 1) + 1] if inside(d + 1) else []
             furthest = F.greatest(*before) if len(before) > 1 else before[0]
-            limit = F.least(m, n - d)
-            begin[f"{name}_{e}_{d + k}"] = F.when((furthest < 0) | (limit < 0), NOWHERE).otherwise(F.least(furthest, limit))
+            begin[f"{name}_{e}_{d + k}"] = F.least(furthest, F.col(f"{name}_y{d + k}"))
         frame = frame.withColumns(begin)
         slid = {}
         for d in range(-e, e + 1):
             at = row(e, d)
             matched = zeros_below(_right(F.col(f"{name}_x{d + k}"), at))
-            slid[f"{name}_{e}_{d + k}"] = F.when(at < 0, at).otherwise(F.least(at + matched, m, n - d))
+            slid[f"{name}_{e}_{d + k}"] = F.least(at + matched, F.col(f"{name}_y{d + k}"))
         frame = frame.withColumns(slid)
-    cells = [(e, d) for e in range(k + 1) for d in range(-e, e + 1)]
-    found = F.coalesce(*[F.when(row(e, d) == m, F.lit(e * 256 + d + 128)) for e, d in cells])
-    used = [f"{name}_{e}_{d + k}" for e, d in cells] + list(masks) + [f"{name}_{x}" for x in ("end", "stop", "n")]
-    # A generator: a test of a projected column would be pushed below it and compute it again.
-    frame = frame.select("*", F.explode(F.array(found)).alias(f"{name}_found"))
-    frame = frame.where(F.col(f"{name}_found").isNotNull()).drop(*used)
+        # Least edits first, then the shortest prefix; BEYOND where no diagonal is at its end yet.
+        ends = F.coalesce(*[F.when(row(e, d) == m, e * 256 + d + 128) for d in range(-e, e + 1)], F.lit(BEYOND))
+        known = f"{name}_found"
+        ends = F.when(F.col(known) != BEYOND, F.col(known)).otherwise(ends) if e else ends
+        frame = frame.withColumn(known, ends).drop(*[f"{name}_{e - 1}_{d + k}" for d in range(1 - e, e)])
+    used = [f"{name}_{k}_{d + k}" for d in range(-k, k + 1)] + list(masks) + list(last)
+    frame = in_own_method(frame.drop(*used)).where(F.col(f"{name}_found") != BEYOND)
     return frame.withColumns(
         {
             f"{name}_differences": F.call_function("shiftright", F.col(f"{name}_found"), F.lit(8)),

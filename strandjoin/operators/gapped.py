@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packing as P
 from ..functions.diagonals import MAX_WIDTH, digit_planes, extend_side, plane_columns
+from ..functions.generated import in_own_method
 from ..functions.edits import k_difference, trace_edits
 from ..params import AlignParams
 from .joins import ReadStats, join_packed_seeds
@@ -143,13 +144,12 @@ def packed_extensions(
         same = F.substring("around", flank + 1, s) == F.substr("digits", start + 1, F.lit(s))
         joined = around.where(same).drop("around")
     kept = ["read_id", "is_rc", "digits", "ref_id", "pos", "tile", *words, *planes]
-    # What follows reads the join through a generator: its code is not made part of the join's.
-    apart = joined.select(F.inline(F.array(F.struct(*kept))))
+    apart = in_own_method(joined.select(*kept))
     regions = {"l_t": (0, flank + k, False), "r_t": (flank + s - k, 2 * flank + s + k, True)}
     found = plane_columns(apart, words, regions)
     for side in ("l", "r"):
         names = [[f"{side}_{kind}{i}" for i in range(3)] for kind in ("q", "t")]
-        found = extend_side(found, side, *names, flank, k).drop(*names[0], *names[1])
+        found = extend_side(found, side, *names, flank, k)
     return found.where(F.col("l_differences") + F.col("r_differences") <= k)
 
 

@@ -1,13 +1,14 @@
 """Furthest-reaching diagonals and the native trace against plain versions."""
 
 import random
+import re
 
 import pytest
 from model import extension
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from strandjoin import AlignParams
+from strandjoin import AlignParams, align
 from strandjoin.functions.diagonals import digit_planes, extend_side, plane_columns
 from strandjoin.functions.edits import edit_arrays, replay_edits, trace_edits
 from strandjoin.functions.packing import pack_frame, to_digits
@@ -94,3 +95,27 @@ def test_gapped_search_has_no_python(spark):
     for name in ("gapped_edits", "gapped_edit_arrays", "align_all_gapped"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+HUGE = 8_000
+
+
+def code_sizes(frame):
+    """Bytes of the largest method that Spark generates for each part of a plan."""
+    spark = frame.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        planned = frame.select("*")._jdf.queryExecution()
+        text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(planned, "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+@pytest.mark.parametrize("params", [AlignParams(allow_differences=True), AlignParams(min_len=76, max_len=76)])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, params):
+    sequences = spark.createDataFrame([(1, "ACGT" * 60)], "seq_id long, seq string")
+    reads = spark.createDataFrame([(1, ("ACGT" * 60)[: params.max_len])], "read_id long, seq string")
+    sizes = code_sizes(align(sequences, reads, params))
+    assert sizes and max(sizes) < HUGE
