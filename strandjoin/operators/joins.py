@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.generated import in_own_method
 from ..params import AlignParams
 from ..sources.shared import written_once
 from .seeds import (
@@ -28,6 +29,9 @@ FILTER_BITS_PER_KEY = 64
 # A read side that holds at most one in so many possible seeds leaves few places; those are
 # written once instead of being derived again for each use.
 SELECTIVE = 16
+# Frames of more words are compared behind the join: within it, the code that makes the places and
+# the code that compares them would be one method, too large to be compiled.
+MAX_JOINED_WORDS = 4
 
 
 def seed_join(read_seeds: DataFrame, reference_seeds: DataFrame, *keys: str) -> DataFrame:
@@ -266,6 +270,8 @@ def find_candidates(
     positions = packed_reference_seeds(sequences, params)
     tiles = tiles.drop("digits", "copies")
     joined = join_packed_seeds(positions, tiles, params, stats, stats.refines(params))
+    if params.frame_words > MAX_JOINED_WORDS:
+        joined = in_own_method(joined)
     return mark_mismatches(joined, params)
 
 
