@@ -170,14 +170,17 @@ def reference_seeds(sequences: DataFrame, params: AlignParams, flanks: bool = Fa
             "piece", "text"
         ),
     )
-    # A second, finer cut keeps the per-position substrings short walks.
+    # A second, finer cut keeps the per-position substrings short walks. What lies left of a seed is
+    # cut from the block read backwards, which is turned once for all of its positions.
     blocks = pieces.select(
         "ref_id", "offset", "first", "end",
         (F.col("piece").cast("bigint") * params.piece_len).alias("start"),
         F.posexplode(linear_split(F.col("text"), step, step + 2 * flank + s)).alias("block", "text"),
     ).where(F.col("block") < params.piece_len // step)
+    turned = [computed_once(F.reverse("text")).alias("turned")] if flanks else []
+    blocks = blocks.select("*", F.length("text").alias("size"), *turned)
     places = blocks.select(
-        "ref_id", "offset", "first", "end", "text",
+        "ref_id", "offset", "first", "end", "text", "size", *(["turned"] if flanks else []),
         (F.col("start") + F.col("block") * step).alias("start"),
         F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("shift"),
     )
@@ -187,12 +190,9 @@ def reference_seeds(sequences: DataFrame, params: AlignParams, flanks: bool = Fa
     found = owned.select("*", computed_once(seed).alias("seed")).where(~has_n(F.col("seed")))
     columns = ["ref_id", (F.col("offset") + local).alias("pos"), "seed"]
     if flanks:
-        left = F.substr("text", F.col("shift") + 1, F.lit(flank))
         right = F.substr("text", F.col("shift") + flank + s + 1, F.lit(flank))
-        columns += [
-            F.reverse(F.ltrim(left)).alias("left_flank"),
-            F.rtrim(right).alias("right_flank"),
-        ]
+        left = F.substr("turned", F.col("size") - F.col("shift") - flank + 1, F.lit(flank))
+        columns += [F.rtrim(left).alias("left_flank"), F.rtrim(right).alias("right_flank")]
     return found.select(*columns)
 
 
