@@ -57,8 +57,11 @@ def k_difference(text: Column, pattern: Column, k: int) -> Column:
             j.alias("aligned_len"),
         ),
     )
+    # A prefix within k edits is at most k bases longer or shorter than the pattern, so that the
+    # prefix of the pattern's length is within 2k: one distance in place of 2k + 1 for most rows.
+    near = F.levenshtein(pattern, F.substr(text, F.lit(1), length), 2 * k) >= 0
     return F.when(
-        shortest <= longest, F.array_min(F.filter(tried, lambda t: t["differences"] >= 0))
+        (shortest <= longest) & near, F.array_min(F.filter(tried, lambda t: t["differences"] >= 0))
     )
 
 
