@@ -18,11 +18,11 @@ def test_left_flanks_are_cut_from_a_turned_block(spark):
         for p in range(len(sequence) - s + 1)
     }
     assert {r["pos"]: (r["left_flank"], r["seed"], r["right_flank"]) for r in found.collect()} == expected
-    assert "reverse(ltrim(" not in found._jdf.queryExecution().toString()
+    assert "reverse(ltrim(" not in found._jdf.queryExecution().analyzed().toString()
 
 
 def test_far_texts_take_one_distance(spark):
     frame = spark.createDataFrame([("ACGT" * 5, "TTTT" * 5), ("ACGT", "ACT"), ("", "")], "t string, p string")
     found = frame.select(k_difference(F.col("t"), F.col("p"), 1).alias("r"))
     assert [r["r"] and tuple(r["r"]) for r in found.collect()] == [None, (1, 2), (0, 0)]
-    assert ", 2) >= 0)" in found._jdf.queryExecution().toString()
+    assert "Some(2)) >= 0)" in found._jdf.queryExecution().analyzed().toString()
