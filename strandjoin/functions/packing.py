@@ -24,6 +24,8 @@ PAD_DIGIT = "7"
 WORD_MASK = (1 << 3 * BASES_PER_WORD) - 1
 PAD_WORD = int(PAD_DIGIT * BASES_PER_WORD, 8)
 LOW_BITS = int("1" * BASES_PER_WORD, 8)
+MIDDLE_BITS = LOW_BITS << 1
+HIGH_BITS = LOW_BITS << 2
 
 
 def to_digits(seq: Column) -> Column:
@@ -104,6 +106,45 @@ def slice_value(words: Sequence[Column], start: int, length: int) -> Column:
     return moved.bitwiseAND(F.lit((1 << 3 * length) - 1))
 
 
+def fold_words(words: Sequence[Column]) -> list[Column]:
+    """As many words in fewer bits, for storing: of each three the middle one becomes zero where
+    no digit is N or padding, the only ones with a high bit.
+
+    Its low and middle bits move to the high bits of its neighbours, and the high bits of all three
+    take its place. Words that are left over at the end stay as they are.
+    """
+    folded = []
+    for i in range(0, len(words) - 2, 3):
+        a, b, c = words[i : i + 3]
+        plain_a, plain_c = (w.bitwiseAND(F.lit(WORD_MASK ^ HIGH_BITS)) for w in (a, c))
+        highs = _shift_right(a.bitwiseAND(F.lit(HIGH_BITS)), 2).bitwiseOR(
+            _shift_right(b.bitwiseAND(F.lit(HIGH_BITS)), 1)
+        )
+        folded += [
+            plain_a.bitwiseOR(_shift_left(b.bitwiseAND(F.lit(LOW_BITS)), 2)),
+            highs.bitwiseOR(c.bitwiseAND(F.lit(HIGH_BITS))),
+            plain_c.bitwiseOR(_shift_left(b.bitwiseAND(F.lit(MIDDLE_BITS)), 1)),
+        ]
+    return folded + list(words[len(folded) :])
+
+
+def unfold_words(folded: Sequence[Column]) -> list[Column]:
+    """The words that :func:`fold_words` was given."""
+    words = []
+    for i in range(0, len(folded) - 2, 3):
+        a, highs, c = folded[i : i + 3]
+        plain_a, plain_c = (w.bitwiseAND(F.lit(WORD_MASK ^ HIGH_BITS)) for w in (a, c))
+        plain_b = _shift_right(a.bitwiseAND(F.lit(HIGH_BITS)), 2).bitwiseOR(
+            _shift_right(c.bitwiseAND(F.lit(HIGH_BITS)), 1)
+        )
+        words += [
+            plain_a.bitwiseOR(_shift_left(highs.bitwiseAND(F.lit(LOW_BITS)), 2)),
+            plain_b.bitwiseOR(_shift_left(highs.bitwiseAND(F.lit(MIDDLE_BITS)), 1)),
+            plain_c.bitwiseOR(highs.bitwiseAND(F.lit(HIGH_BITS))),
+        ]
+    return words + list(folded[len(words) :])
+
+
 def base_masks(positions: Sequence[int], n_words: int, digit: int = 7) -> list[int]:
     """One constant per word with ``digit`` at each of the given base positions."""
     masks = [0] * n_words

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shuffle_files_cleared
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -35,22 +35,6 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-@contextlib.contextmanager
-def shuffle_files_cleared(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query that ends within are deleted at its end.
-
-    Spark otherwise keeps them until the driver happens to collect garbage. A written table needs
-    none of them, and the next query plans shuffles of its own.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def stage(frame: DataFrame, name: str) -> DataFrame:
     """The frame written as a table to the shared folder and read again.
 

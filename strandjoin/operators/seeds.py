@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packing as P
 from ..functions.bases import has_n, is_homopolymer
-from ..params import BASES_PER_WORD, AlignParams
+from ..params import BASES_PER_WORD, AlignParams, GridParams
 from .sequences import computed_once, expand_strands, linear_split, owned_seeds, prepare_sequences
 
 
@@ -15,21 +15,18 @@ def frame_columns(prefix: str, params: AlignParams) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(params.frame_words)]
 
 
-def packed_reference_seeds(
-    sequences: DataFrame, params: AlignParams, full_flanks: bool = False
+def packed_pieces(
+    sequences: DataFrame,
+    params: AlignParams,
+    full_flanks: bool = False,
+    grid: GridParams | None = None,
 ) -> DataFrame:
-    """One narrow row per seed position: (ref_id, pos, seed, c0, c1, ...).
+    """Sequences as pieces of 21-base words: (ref_id, offset, first, end, start, words).
 
-    c0.. hold the frame of the position, that is all bases a read could cover whichever of
-    its tiles sits on the seed, or with ``full_flanks`` the seed and ``flank_len`` bases on
-    either side. seed is the first ``key_len`` bases of a tile at the position. Sequence -> pieces -> 21-base words -> positions: text is packed once per word,
-    and a position costs a few shifts of neighbouring words.
+    A piece starts at local position ``start``, left of which the words hold what a frame reaches;
+    [first, end) are the local seed positions that the row answers for.
     """
-    if full_flanks:
-        left, words_after = params.flank_len, params.flank_words
-    else:
-        left, words_after = params.left_reach, params.frame_words
-    blocks_per_piece = params.piece_len // BASES_PER_WORD
+    left, words_after = _frame_reach(params, full_flanks, grid)
     rows = prepare_sequences(sequences)
     first, end = owned_seeds(params, F.length("seq"), rows)
     # Padding on the left makes the frame of local position p start at padded index p.
@@ -49,7 +46,7 @@ def packed_reference_seeds(
             )
         ).alias("piece", "digits"),
     )
-    packed = pieces.select(
+    return pieces.select(
         "ref_id",
         "offset",
         "first",
@@ -57,6 +54,25 @@ def packed_reference_seeds(
         (F.col("piece").cast("bigint") * params.piece_len).alias("start"),
         P.pack_array(F.col("digits")).alias("words"),
     )
+
+
+def _frame_reach(params: AlignParams, full_flanks: bool, grid: GridParams | None) -> tuple[int, int]:
+    """Bases of a frame left of its seed, and its number of words."""
+    if full_flanks:
+        return params.flank_len, params.flank_words
+    return (grid or params).left_reach, (grid or params).frame_words
+
+
+def piece_seeds(
+    packed: DataFrame,
+    params: AlignParams,
+    full_flanks: bool = False,
+    grid: GridParams | None = None,
+) -> DataFrame:
+    """The seed positions of :func:`packed_pieces`, see :func:`packed_reference_seeds`."""
+    left, words_after = _frame_reach(params, full_flanks, grid)
+    key_len = (grid or params).key_len
+    blocks_per_piece = params.piece_len // BASES_PER_WORD
     blocks = packed.select(
         "ref_id", "offset", "first", "end", "start", "words",
         # The outer form: the inner one would add a test that packs the words a second time.
@@ -71,18 +87,21 @@ def packed_reference_seeds(
             for i in range(1, words_after + 1)
         ],
     )
-    places = blocks.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(BASES_PER_WORD - 1))).alias("shift")
-    )
+    shifts = F.sequence(F.lit(0), F.lit(BASES_PER_WORD - 1))
+    if grid:
+        first_shift = F.pmod(-(F.col("offset") + F.col("start")), F.lit(grid.seed_len)).cast("int")
+        on_grid = F.sequence(first_shift, F.lit(BASES_PER_WORD - 1), F.lit(grid.seed_len))
+        shifts = F.when(first_shift < BASES_PER_WORD, on_grid)
+    places = blocks.select("*", F.explode(shifts).alias("shift"))
     frame = P.shift_words([F.col(f"w{i}") for i in range(words_after + 1)], F.col("shift"))
     local = F.col("start") + F.col("shift")
-    seed = P.slice_value(frame, left, params.key_len)
+    seed = P.slice_value(frame, left, key_len)
     # N and padding are the digits with the high bit, so one test drops both.
-    no_base = int(P.N_DIGIT * params.key_len, 8)
+    no_base = seed.bitwiseAND(F.lit(int(P.N_DIGIT * key_len, 8)))
     return places.where(
         (local >= F.col("first"))
         & (local < F.col("end"))
-        & (seed.bitwiseAND(F.lit(no_base)) == 0)
+        & (F.bit_count(no_base) <= params.k if grid else no_base == 0)
     ).select(
         "ref_id",
         (F.col("offset") + local).alias("pos"),
@@ -91,20 +110,33 @@ def packed_reference_seeds(
     )
 
 
-def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
-    """Tiles of both strands, each with the read laid into the frame of that tile.
+def packed_reference_seeds(
+    sequences: DataFrame,
+    params: AlignParams,
+    full_flanks: bool = False,
+    grid: GridParams | None = None,
+) -> DataFrame:
+    """One narrow row per seed position: (ref_id, pos, seed, c0, c1, ...).
 
-    ``reads`` is (read_id, seq) plus any other columns, prepared. Output: those other columns,
-    read_id, is_rc, tile, read_len, digits, seed, need, f0, f1, ... Bit d - 1 of ``need`` says
-    that the tile d places to the left could have been a seed itself (it holds no N). Columns that
-    a plan does not use, such as ``digits`` of the whole read, are pruned from it.
+    c0.. hold the frame of the position, that is all bases a read could cover whichever of
+    its tiles sits on the seed, or with ``full_flanks`` the seed and ``flank_len`` bases on
+    either side. seed is the first ``key_len`` bases of a tile at the position. Sequence -> pieces -> 21-base words -> positions: text is packed once per word,
+    and a position costs a few shifts of neighbouring words.
+
+    With ``grid`` only positions that are multiples of its ``seed_len``, with its seeds and frames;
+    a seed may then hold as many N as a read.
     """
-    s = params.seed_len
+    pieces = packed_pieces(sequences, params, full_flanks, grid)
+    return piece_seeds(pieces, params, full_flanks, grid)
+
+
+def _stranded_digits(reads: DataFrame) -> DataFrame:
+    """The read as octal digits once per strand: (the other columns, read_len, is_rc, digits)."""
     digits = F.col("digits")
-    forward = P.to_digits(F.col("seq"))
     others = [c for c in reads.columns if c != "seq"]
+    forward = P.to_digits(F.col("seq"))
     stranded = reads.select(*others, F.length("seq").alias("read_len"), forward.alias("digits"))
-    stranded = stranded.select(
+    return stranded.select(
         *others,
         "read_len",
         F.inline(
@@ -117,6 +149,20 @@ def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
             )
         ),
     )
+
+
+def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
+    """Tiles of both strands, each with the read laid into the frame of that tile.
+
+    ``reads`` is (read_id, seq) plus any other columns, prepared. Output: those other columns,
+    read_id, is_rc, tile, read_len, digits, seed, need, f0, f1, ... Bit d - 1 of ``need`` says
+    that the tile d places to the left could have been a seed itself (it holds no N). Columns that
+    a plan does not use, such as ``digits`` of the whole read, are pruned from it.
+    """
+    s = params.seed_len
+    digits = F.col("digits")
+    others = [c for c in reads.columns if c != "seq"]
+    stranded = _stranded_digits(reads)
     tiles = stranded.select(
         "*",
         F.explode(
@@ -151,6 +197,41 @@ def packed_read_tiles(reads: DataFrame, params: AlignParams) -> DataFrame:
     )
 
 
+def packed_read_windows(reads: DataFrame, params: AlignParams, grid: GridParams) -> DataFrame:
+    """:func:`packed_read_tiles` for places on a grid: every window that may be one of the first
+    k + 1 seeds of the grid that the read covers.
+
+    Output as there, with ``start`` of the window instead of ``tile``, and ``free``: for a read with
+    N, where its tiles without N start. Through one of those a place is to be reached
+    (:func:`.verify.has_clean_tile`); of other reads some tile always is clean.
+    """
+    step, s, digits, start = grid.seed_len, params.seed_len, F.col("digits"), F.col("start")
+    others = [c for c in reads.columns if c != "seq"]
+    windows = _stranded_digits(reads).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(grid.left_reach))).alias("start")
+    )
+    frame = F.rpad(
+        F.concat(F.repeat(F.lit(P.PAD_DIGIT), F.lit(grid.left_reach) - start), digits),
+        grid.frame_words * BASES_PER_WORD,
+        P.PAD_DIGIT,
+    )
+    seed = F.substr(digits, start + 1, F.lit(grid.key_len))
+    earlier = F.floor(start / step).cast("int")
+    need = F.call_function("shiftleft", F.lit(1).cast("bigint"), earlier) - 1
+    tiles = F.sequence(F.lit(0), F.col("read_len") - s, F.lit(s))
+    free = F.filter(tiles, lambda at: ~F.substr(digits, at + 1, F.lit(s)).contains(P.N_DIGIT))
+    return windows.select(
+        *others,
+        "is_rc",
+        "start",
+        "read_len",
+        F.when(digits.contains(P.N_DIGIT), free).alias("free"),
+        F.conv(seed, 8, 10).cast("bigint").alias("seed"),
+        need.alias("need"),
+        *[w.alias(f"f{i}") for i, w in enumerate(P.pack_frame(frame, grid.frame_words))],
+    )
+
+
 def reference_seeds(sequences: DataFrame, params: AlignParams, flanks: bool = False) -> DataFrame:
     """Every N-free seed position as text: (ref_id, pos, seed[, left_flank, right_flank]).
 

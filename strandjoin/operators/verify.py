@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packing as P
-from ..params import AlignParams
+from ..params import AlignParams, GridParams
 from .seeds import frame_columns
 
 
@@ -135,9 +135,24 @@ def verify_candidates(candidates: DataFrame, params: AlignParams) -> DataFrame:
     return within_k(candidates, params).where(is_leftmost_seed(params))
 
 
-def project_alignments(verified: DataFrame, params: AlignParams, edits: bool = False) -> DataFrame:
+def has_clean_tile(params: AlignParams, grid: GridParams) -> Column:
+    """A tile of the plain search holds neither a mismatch nor N; in doubt for reads with N alone."""
+    mismatches = frame_columns("m", grid)
+    shift = F.lit(grid.left_reach) - F.col("start")
+
+    def clean(at: Column) -> Column:
+        bases = F.sequence(at, at + (params.seed_len - 1))
+        return F.forall(bases, lambda p: ~P.test_bit_at(mismatches, p + shift))
+
+    return F.col("free").isNull() | F.exists("free", clean)
+
+
+def project_alignments(
+    verified: DataFrame, params: AlignParams, edits: bool = False, tile_start: Column | None = None
+) -> DataFrame:
     """(read_id, ref_id, ref_start, ref_end, differences, is_rc[, mismatch_positions])."""
-    tile_start = F.col("tile") * params.seed_len
+    if tile_start is None:
+        tile_start = F.col("tile") * params.seed_len
     ref_start = F.col("pos") - tile_start
     columns = [
         F.col("read_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 # Bases held by one BIGINT column at three bits each; the sign bit stays free.
 BASES_PER_WORD = 21
@@ -89,3 +89,48 @@ class AlignParams:
     def flank_words(self) -> int:
         """Words that hold a seed and both of its flanks."""
         return -(-(2 * self.flank_len + self.seed_len) // BASES_PER_WORD)
+
+
+def _grid_step(params: AlignParams) -> int:
+    seeds, tile = params.k + 1, params.min_len // (params.k + 1)
+    return min(
+        (params.min_len + 1) // (seeds + 1),
+        (params.flank_len + 1) // seeds,
+        (params.min_len + 1 - tile) // seeds,
+    )
+
+
+@dataclass(frozen=True)
+class GridParams(AlignParams):
+    """The same search with its seeds on a grid of the reference, one in ``seed_len`` positions.
+
+    Wherever a read lies, it covers k + 1 seeds of the grid, and k differences cannot touch all of
+    them. Reads look up every window that may be one of those. N may seed, since N equals N.
+    """
+
+    @property
+    def seed_len(self) -> int:
+        """The longest step at which a read covers k + 1 seeds whatever its offset to the grid, and
+        at which the places that a stored chunk owns by the tiles of the plain search suffice."""
+        return _grid_step(self)
+
+    @property
+    def flank_len(self) -> int:
+        """That of the plain search, as chunks were cut for it."""
+        return self.max_len - self.min_len // (self.k + 1) + self.k
+
+    @property
+    def n_tiles(self) -> int:
+        return self.k + 1
+
+    @property
+    def left_reach(self) -> int:
+        """The last window of a read that may be one of its first k + 1 seeds."""
+        return self.n_tiles * self.seed_len - 1
+
+
+def grid_params(params: AlignParams) -> GridParams | None:
+    """None where seeds on the grid would be at most half as long as tiles, thus far less selective."""
+    if 2 * _grid_step(params) <= params.seed_len:
+        return None
+    return GridParams(**{f.name: getattr(params, f.name) for f in fields(AlignParams)})

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffle_files_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that ends within are deleted at its end.
+
+    Spark otherwise keeps them until the driver happens to collect garbage. A written table needs
+    none of them, and the next query plans shuffles of its own.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written_once(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: what reads it twice does not derive it twice."""
     path = scratch_path(frame.sparkSession, name)
