@@ -3,7 +3,9 @@
 Only the number of pieces of each length matters to the packing, and there are at most
 `capacity` lengths. Spark tokenizes once, stages one narrow row for each piece and counts the
 lengths; the driver solves the packing over that bounded histogram; pieces are then ranked
-within their length, in buckets, and each rank is looked up in the bounded table of slots.
+within their length, in buckets, and each rank is looked up in the bounded table of slots. The
+counted pieces also say how many partitions the result needs: a small one is not left in as many
+tiny files as there are shuffle partitions.
 
 The solver takes the longest length left and enumerates the undominated fillings of the room
 beside it (no other filling replaces its parts by as many or fewer longer ones that also fit),
@@ -36,6 +38,9 @@ END_ID = 0
 BUCKETS = 256
 SEARCH_NODES = 2000
 FILLINGS = 64
+#: Partitions of the result are merged up to so many pieces, or so many kept ids, each.
+PARTITION_PIECES = 1 << 15
+PARTITION_IDS = 1 << 23
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -269,6 +274,14 @@ def slot_table(bins: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names, dtype="int64").sort_values(["length", "rank"])
 
 
+def result_partitions(counts: dict[int, int], keep_ids: bool, cores: int) -> int:
+    """How many partitions hold the pieces: as many as there are cores, more as the pieces grow."""
+    needed = -(-sum(counts.values()) // PARTITION_PIECES)
+    if keep_ids:
+        needed = max(needed, -(-sum(length * n for length, n in counts.items()) // PARTITION_IDS))
+    return max(1, cores, needed)
+
+
 def place(ranked: DataFrame, slots: pd.DataFrame) -> DataFrame:
     """Sequence and offset of every ranked piece; slots is bounded by the capacity."""
     keys = slots["length"].to_numpy() * (1 << 48) + slots["rank"].to_numpy()
@@ -307,11 +320,13 @@ def pack(
     pieces = pieces.withColumn("bucket", bucket)
     by_bucket = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()
-    slots = slot_table(complete_bins({r["length"]: r["n"] for r in histogram}, capacity, search_nodes))
+    counts = {r["length"]: r["n"] for r in histogram}
+    slots = slot_table(complete_bins(counts, capacity, search_nodes))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("nth", F.row_number().over(within)).join(starts, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "nth", "before")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["rank"]
-    return place(ranked.select(*columns), slots)
+    n = result_partitions(counts, keep_ids, docs.sparkSession.sparkContext.defaultParallelism)
+    return place(ranked.select(*columns).coalesce(n), slots)

@@ -171,6 +171,28 @@ def test_packing_keeps_every_id(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_small_packing_makes_few_files(spark, tmp_path):
+    texts = [(i, "the " * (i % 150)) for i in range(600)] + EDGES
+    expected = sorted(packing.pack(documents(spark, texts)).collect())
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packing.pack(documents(spark, texts)).write.parquet(f"{tmp_path}/packed")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "packed").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    assert sorted(spark.read.parquet(f"{tmp_path}/packed").collect()) == expected
+
+
+def test_partitions_of_a_packing_grow_with_it():
+    assert packing.result_partitions({}, False, 8) == packing.result_partitions({2048: 9}, True, 8) == 8
+    assert packing.result_partitions({5: 10**7, 2048: 10**7}, False, 8) == -(-2 * 10**7 // packing.PARTITION_PIECES)
+    assert packing.result_partitions({2048: 1 << 20}, True, 8) == (1 << 31) // packing.PARTITION_IDS
+
+
 def test_bin_completion_beats_best_fit():
     counts = {6: 1, 5: 1, 4: 2, 3: 1, 2: 1}
     bins = packing.complete_bins(counts, 12)
